@@ -1,67 +1,6 @@
-"""Registered queries: one Spark plan per operator of the survey, each with
-the equivalent DuckDB SQL over the same parquet tables (when SQL can say it).
+"""All registered queries (import side effect registers them)."""
 
-Floats are rounded to 6 places in both engines (sums of large numbers to 4).
-"""
+from dyad.plans import q_dataset  # noqa: F401
+from dyad.plans.registry import ORACLE, QUERIES
 
-from __future__ import annotations
-
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from dyad.plans import fixtures as fx
-from dyad.plans.dataset import clean_pairs
-
-QueryFn = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, QueryFn] = {}
-ORACLE: dict[str, str] = {}
-
-
-def register(name: str, sql: str | None = None) -> Callable[[QueryFn], QueryFn]:
-    def deco(fn: QueryFn) -> QueryFn:
-        QUERIES[name] = fn
-        if sql is not None:
-            ORACLE[name] = sql.strip()
-        return fn
-
-    return deco
-
-
-def r6(c: Column | str, places: int = 6) -> Column:
-    return F.round(F.col(c) if isinstance(c, str) else c, places)
-
-
-# ---------------------------------------------------------------- shared SQL
-RAW_SQL = """raw AS (SELECT l_suppkey cell_id, l_partkey drug_id,
-       CASE WHEN l_linestatus='F' THEN 'GDSC1' ELSE 'GDSC2' END AS dataset, ln(l_extendedprice) y
-  FROM lineitem WHERE l_extendedprice IS NOT NULL)"""
-CELLS_SQL = """cells AS (SELECT s_suppkey cell_id,
-       CASE WHEN n_name IS NOT NULL AND trim(n_name) <> '' AND lower(trim(n_name))<>lower(trim(r_name))
-            THEN concat(trim(r_name),' / ',trim(n_name)) ELSE trim(r_name) END AS tissue
-  FROM supplier JOIN nation ON s_nationkey=n_nationkey JOIN region ON n_regionkey=r_regionkey)"""
-REP_SQL = """rep AS (SELECT raw.cell_id, raw.drug_id, p_name drug_name, coalesce(p_type,'') smiles, tissue, dataset,
-       median(y) y, count(*) n
-  FROM raw LEFT JOIN part ON raw.drug_id=p_partkey LEFT JOIN cells ON raw.cell_id=cells.cell_id
-  WHERE tissue IS NOT NULL GROUP BY 1,2,3,4,5,6)"""
-PAIRS_SQL = f"""{RAW_SQL},
- {CELLS_SQL},
- {REP_SQL},
- q AS (SELECT quantile_cont(y, 0.005) lo, quantile_cont(y, 0.995) hi FROM rep),
- pairs AS (SELECT cell_id, drug_id, drug_name, smiles, tissue, dataset, n, least(greatest(y, lo), hi) ln_ic50
-  FROM rep CROSS JOIN q)"""
-
-
-def pairs_df(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clean_pairs(fx.responses(spark, sf_dir), fx.compounds(spark, sf_dir), fx.cells(spark, sf_dir))
-
-
-# ------------------------------------------------------------ 7.2 flagship
-@register(
-    "clean_pairs",
-    f"""WITH {PAIRS_SQL}
-SELECT cell_id, drug_id, drug_name, smiles, tissue, dataset, n, round(ln_ic50, 6) ln_ic50 FROM pairs""",
-)
-def q_clean_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pairs_df(spark, sf_dir).withColumn("ln_ic50", r6("ln_ic50"))
+__all__ = ["ORACLE", "QUERIES"]
