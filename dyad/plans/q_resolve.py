@@ -2,7 +2,7 @@
 
 The dictionary stands in for the name services' answers: one entry per
 ``(name_key, source)`` from ``part`` names (``p_size > 5``; ChEMBL when
-``p_size`` is even, else PubChem; negative when any size is a multiple of 10)
+``p_size`` is even, else PubChem; negative when any size is a multiple of 5)
 and one PubChem entry per brand (negative for brand numbers up to 12).
 """
 
