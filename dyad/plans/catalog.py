@@ -1,6 +1,6 @@
 """All registered queries (import side effect registers them)."""
 
-from dyad.plans import q_dataset, q_eval, q_resolve  # noqa: F401
+from dyad.plans import q_dataset, q_eval, q_matrix, q_resolve  # noqa: F401
 from dyad.plans.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
