@@ -36,46 +36,68 @@ def _names(cols: Sequence[str] | str | None) -> list[str]:
     return list(cols)
 
 
-def prefix_totals(
+def prefix_agg(
     df: DataFrame,
     order: Sequence[str] | str,
     by: Sequence[str] | str | None = None,
-    weight: str | None = None,
-    out: str = "less_than",
+    value: str | None = None,
+    how: str = "sum",
+    inclusive: bool = False,
+    out: str = "prefix",
     total: str | None = None,
     buckets: int | None = None,
 ) -> DataFrame:
-    """Add ``out`` = sum of ``weight`` (1 per row if None) over rows of the same
-    ``by`` group that sort strictly before this row on ``order``.
+    """Running ``sum`` or ``min``/``max`` of ``value`` (1 per row for a sum with
+    ``value=None``) in ``order`` within ``by`` groups, without a window over a group.
 
-    ``total`` optionally adds the group's total weight.  ``buckets`` defaults to
-    ``spark.sql.shuffle.partitions``.
+    Strictly-before rows only unless ``inclusive``.  ``total`` adds the group's
+    total.  ``buckets`` defaults to ``spark.sql.shuffle.partitions``.
     """
     order, by = _names(order), _names(by)
     spark = df.sparkSession
     n_buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    w = F.col(weight) if weight else F.lit(1)
+    fn = {"sum": F.sum, "min": F.min, "max": F.max}[how]
+    w = F.col(value) if value else F.lit(1)
     # Range partitions are the buckets; the checkpoint pins each row's bucket so
-    # the bucket totals and the in-bucket running sums agree even if a stage is
-    # recomputed after an executor loss.
+    # the bucket summaries and the in-bucket running values agree even if a
+    # stage is recomputed after an executor loss.
     ranged = cut_lineage(
         df.repartitionByRange(n_buckets, *[F.col(c) for c in by + order]).withColumn(
             "_bucket", F.spark_partition_id()
         )
     )
-    bucket_tot = ranged.groupBy(*by, "_bucket").agg(F.sum(w).alias("_bt"))
+    bucket_tot = ranged.groupBy(*by, "_bucket").agg(fn(w).alias("_bt"))
     before = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = bucket_tot.withColumn("_off", F.coalesce(F.sum("_bt").over(before), F.lit(0)))
+    offsets = bucket_tot.withColumn("_off", fn("_bt").over(before))
     keep = ["_bucket", "_off"] + by
     if total:
-        offsets = offsets.withColumn(total, F.sum("_bt").over(Window.partitionBy(*by)))
+        offsets = offsets.withColumn(total, fn("_bt").over(Window.partitionBy(*by)))
         keep.append(total)
     offsets = offsets.select(*keep)
-    inside = Window.partitionBy(*by, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    local = ranged.withColumn("_in", F.coalesce(F.sum(w).over(inside), F.lit(0)))
+    upto = -1 if not inclusive else 0
+    inside = Window.partitionBy(*by, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, upto)
+    local = ranged.withColumn("_in", fn(w).over(inside))
     # offsets has at most (buckets + groups) rows; broadcast only when that is small.
     res = join_small(local, offsets, by + ["_bucket"], how="inner", max_rows=200_000)
-    return res.withColumn(out, F.col("_off") + F.col("_in")).drop("_off", "_in", "_bucket")
+    if how == "sum":
+        combined = F.coalesce(F.col("_off"), F.lit(0)) + F.coalesce(F.col("_in"), F.lit(0))
+    else:
+        combined = (F.least if how == "min" else F.greatest)(F.col("_off"), F.col("_in"))
+    return res.withColumn(out, combined).drop("_off", "_in", "_bucket")
+
+
+def prefix_totals(
+    df: DataFrame,
+    order: Sequence[str] | str,
+    by: Sequence[str] | str | None = None,
+    weight: str | None = None,
+    out: str = "less_than",
+    total: str | None = None,
+    buckets: int | None = None,
+) -> DataFrame:
+    """Sum of ``weight`` (1 per row if None) over rows of the same ``by`` group
+    that sort strictly before this row on ``order`` (unique ``by + order`` keys)."""
+    return prefix_agg(df, order, by, weight, "sum", False, out, total, buckets)
 
 
 def value_counts(df: DataFrame, value: str, by: Sequence[str] | str | None = None) -> DataFrame:
