@@ -60,7 +60,7 @@ def trials_df(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@register("early_stop", f"""WITH RECURSIVE {HIST_SQL},
+ORACLE_EARLY_STOP = f"""WITH RECURSIVE {HIST_SQL},
  st AS (SELECT DISTINCT run, 0::BIGINT epoch, 'inf'::DOUBLE best, 0::BIGINT be, 0 w, 0::BIGINT stop FROM h
         UNION ALL
         SELECT h.run, h.epoch, CASE WHEN h.v < best - {MIN_DELTA} THEN h.v ELSE best END,
@@ -69,7 +69,10 @@ def trials_df(spark: SparkSession, sf_dir: str) -> DataFrame:
                CASE WHEN h.v < best - {MIN_DELTA} THEN 0 WHEN w + 1 >= {PATIENCE} THEN h.epoch ELSE 0 END
           FROM st JOIN h ON h.run = st.run AND h.epoch = st.epoch + 1 WHERE stop = 0)
 SELECT run, round(best, 6) best, be best_epoch, stop stop_epoch, epoch n_epochs FROM st
-QUALIFY row_number() OVER (PARTITION BY run ORDER BY epoch DESC) = 1""")
+QUALIFY row_number() OVER (PARTITION BY run ORDER BY epoch DESC) = 1"""
+
+
+@register("early_stop", ORACLE_EARLY_STOP)
 def q_early_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Early-stopping replay per run (patience 8, min_delta 1e-4)."""
     out = learn.early_stop(history_df(spark, sf_dir), "run", "epoch", "v", PATIENCE, MIN_DELTA)
@@ -168,7 +171,7 @@ def metrics_rows(pred: DataFrame, by: str) -> DataFrame:
 def q_gbt_early_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T1 + T9: boosted trees trained on train with early stopping on val, scored on every split."""
     tf = training_frame(spark, sf_dir).withColumn("is_val", F.col("split") == "val")
-    est = learn.gbt({"maxIter": 20, "maxDepth": 3, "stepSize": 0.2, "validationTol": 0.001}, validation="is_val")
+    est = learn.gbt({"maxIter": 10, "maxDepth": 3, "stepSize": 0.2, "validationTol": 0.001}, validation="is_val")
     model = learn.fit_on_split(tf, est, train=("train", "val"))
     return metrics_rows(learn.score(model, tf), "split")
 
@@ -232,3 +235,31 @@ def q_oof_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     if dup.count():
         raise AssertionError("a pair was predicted by more than one fold")
     return oof
+
+
+@register("early_stop_stream", ORACLE_EARLY_STOP)
+def q_early_stop_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T7 as a Structured Streaming job: the events table is replayed as a
+    file stream into a stateful per-run operator; the last update of each run
+    equals the batch replay."""
+    import tempfile
+
+    from dyad.session import ensure_checkpoint_dir
+    from dyad.streaming.early_stop import early_stop_stream
+
+    events = fx.table(spark, sf_dir, "events")
+    # a file stream watches a directory; the glob picks the events file out of it
+    stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    out = early_stop_stream(stream, "user_id", "value", ["ts", "event_id"], PATIENCE, MIN_DELTA)
+    ckpt_root = ensure_checkpoint_dir(spark)
+    name = f"early_stop_{abs(hash((sf_dir, tempfile.mktemp()))) % 10**9}"
+    q = (out.writeStream.outputMode("update").format("memory").queryName(name)
+         .option("checkpointLocation", f"{ckpt_root}/stream-{name}").start())
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    updates = spark.table(name)
+    last = updates.groupBy("run").agg(F.max_by(F.struct("best", "best_epoch", "stop_epoch", "n_epochs"),
+                                               "n_epochs").alias("s"))
+    return last.select("run", r6("s.best").alias("best"), "s.best_epoch", "s.stop_epoch", "s.n_epochs")
