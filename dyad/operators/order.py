@@ -165,6 +165,19 @@ def global_quantiles(df: DataFrame, value: str, probs: Sequence[float]) -> list[
     return [row[f"q{i}"] for i in range(len(probs))]
 
 
+def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int, seed: int = 17) -> DataFrame:
+    """Keys that may hold more than ``hot_rows`` rows, found from a Bernoulli
+    sample (a scan, no shuffle of all keys).  The sample is sized so a group of
+    ``hot_rows`` rows shows ~100 times; anything seen 25+ times is treated as
+    hot.  Missing a group only routes it to the ordinary aggregate (still
+    exact); flagging a smaller one only sends it down the distributed path."""
+    frac = min(1.0, 100.0 / max(hot_rows, 1))
+    sample = df.select(*keys).sample(withReplacement=False, fraction=frac, seed=seed)
+    expected = frac * hot_rows
+    return sample.groupBy(*keys).agg(F.count(F.lit(1)).alias("_seen")).filter(
+        F.col("_seen") >= max(1.0, expected / 4)).select(*keys)
+
+
 def group_quantiles(
     df: DataFrame,
     keys: Sequence[str],
@@ -184,10 +197,8 @@ def group_quantiles(
     keys = list(keys)
     names = list(names or [f"q{i}" for i in range(len(probs))])
     plist = [float(p) for p in probs]
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    hot = sizes.filter(F.col("_rows") > hot_rows)
+    hot = hot_keys(df, keys, hot_rows)
     n_hot = hot.count()
-
     def cold_agg(frame: DataFrame) -> DataFrame:
         aggs = [F.percentile(F.col(value), F.lit(p)).alias(nm) for p, nm in zip(plist, names)]
         if count_col:
@@ -196,14 +207,12 @@ def group_quantiles(
 
     if n_hot == 0:
         return cold_agg(df)
-    hot_keys = hot.select(*keys)
-    cold = cold_agg(join_small(df, hot_keys, keys, how="left_anti", max_rows=100_000, known_rows=n_hot))
-    hot_part = distributed_quantiles(
-        join_small(df, hot_keys, keys, how="left_semi", max_rows=100_000, known_rows=n_hot), value, plist, keys, names
-    )
+    cold = cold_agg(join_small(df, hot, keys, how="left_anti", max_rows=100_000, known_rows=n_hot))
+    hot_rows_df = join_small(df, hot, keys, how="left_semi", max_rows=100_000, known_rows=n_hot)
+    hot_part = distributed_quantiles(hot_rows_df, value, plist, keys, names)
     if count_col:
-        hot_part = join_small(hot_part, hot.withColumnRenamed("_rows", count_col), keys, how="inner",
-                              max_rows=100_000, known_rows=n_hot)
+        counts = hot_rows_df.groupBy(*keys).agg(F.count(F.lit(1)).alias(count_col))
+        hot_part = hot_part.join(counts, keys, "inner")
     return cold.unionByName(hot_part)
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from dyad.operators.clean import REPLICATE_KEYS, canonicalise, replicate_median, winsorize
 from dyad.operators.joins import join_small
 from dyad.operators.order import HOT_GROUP_ROWS
+from dyad.session import cut_lineage
 
 PAIR_COLUMNS = ["cell_id", "drug_id", "drug_name", "smiles", "tissue", "dataset", "n", "ln_ic50"]
 
@@ -42,7 +43,8 @@ def clean_pairs(
     else:
         resp = resp.withColumn("smiles", F.coalesce(F.col("smiles"), F.lit("")))
     rep = replicate_median(resp, REPLICATE_KEYS, "ln_ic50", count_col="n", hot_rows=hot_rows)
-    return winsorize(rep, "ln_ic50", lo, hi).select(*PAIR_COLUMNS)
+    # the medians feed both the global bounds and the clip: write them once
+    return winsorize(cut_lineage(rep), "ln_ic50", lo, hi).select(*PAIR_COLUMNS)
 
 
 def merge_scores(pairs: DataFrame, scores: DataFrame, key: str = "cell_id") -> DataFrame:

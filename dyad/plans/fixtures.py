@@ -28,7 +28,17 @@ TABLES = (
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Fan a scan out to the cluster's parallelism when the files give fewer
+    splits (one large unsplittable file or row group).  A no-op for a normal
+    multi-file table, whose scan already has enough splits."""
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
 
 
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
