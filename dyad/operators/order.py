@@ -67,18 +67,32 @@ def prefix_agg(
         )
     )
     bucket_tot = ranged.groupBy(*by, "_bucket").agg(fn(w).alias("_bt"))
-    before = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = bucket_tot.withColumn("_off", fn("_bt").over(before))
-    keep = ["_bucket", "_off"] + by
-    if total:
-        offsets = offsets.withColumn(total, fn("_bt").over(Window.partitionBy(*by)))
-        keep.append(total)
-    offsets = offsets.select(*keep)
     upto = -1 if not inclusive else 0
     inside = Window.partitionBy(*by, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, upto)
     local = ranged.withColumn("_in", fn(w).over(inside))
-    # offsets has at most (buckets + groups) rows; broadcast only when that is small.
-    res = join_small(local, offsets, by + ["_bucket"], how="inner", max_rows=200_000)
+    if not by:
+        # One group: at most n_buckets summaries -- fold them on the driver and
+        # inline the offsets as a literal array indexed by bucket (no join).
+        summary = {r["_bucket"]: r["_bt"] for r in bucket_tot.collect()}
+        offs, acc, grand = [], None, None
+        for b in range(n_buckets):
+            offs.append(acc)
+            v = summary.get(b)
+            if v is not None:
+                acc = v if acc is None else ({"sum": acc + v, "min": min(acc, v), "max": max(acc, v)}[how])
+        grand = acc
+        res = local.withColumn("_off", F.array(*[F.lit(o) for o in offs])[F.col("_bucket")])
+        if total:
+            res = res.withColumn(total, F.lit(grand))
+    else:
+        before = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+        offsets = bucket_tot.withColumn("_off", fn("_bt").over(before))
+        keep = ["_bucket", "_off"] + by
+        if total:
+            offsets = offsets.withColumn(total, fn("_bt").over(Window.partitionBy(*by)))
+            keep.append(total)
+        # offsets has at most (buckets + groups) rows; broadcast only when that is small.
+        res = join_small(local, offsets.select(*keep), by + ["_bucket"], how="inner", max_rows=200_000)
     if how == "sum":
         combined = F.coalesce(F.col("_off"), F.lit(0)) + F.coalesce(F.col("_in"), F.lit(0))
     else:
