@@ -256,3 +256,40 @@ def q_entity_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     from dyad.operators.profile import distinct_rows
 
     return distinct_rows(pairs_df(spark, sf_dir), ["drug_id", "smiles"])
+
+
+@register("compound_table", """SELECT p_partkey DRUG_ID, p_type SMILES FROM part""")
+def q_compound_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Compound table with the required-column check."""
+    from dyad.sources.readers import compounds_from_frame
+
+    p = fx.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("DRUG_ID"), F.col("p_type").alias("SMILES"),
+                                                F.col("p_name").alias("DRUG_NAME"))
+    return compounds_from_frame(p)
+
+
+@register("load_cells", """SELECT CAST(s_suppkey AS VARCHAR) COSMIC_ID,
+       trim(coalesce(CASE WHEN trim(coalesce(n_name, '')) <> '' AND lower(trim(n_name)) <> lower(trim(coalesce(r_name, '')))
+                          THEN concat(trim(coalesce(r_name, '')), ' / ', trim(n_name))
+                          ELSE nullif(trim(coalesce(r_name, '')), '') END, 'unknown')) tissue
+  FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+ GROUP BY ALL""")
+def q_load_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S3 + P2: cell metadata with header discovery over sheet-style headers."""
+    from dyad.sources.readers import cells_from_frame
+
+    s = fx.table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey", "s_name")
+    n = fx.table(spark, sf_dir, "nation")
+    r = fx.table(spark, sf_dir, "region")
+    sheet = s.join(F.broadcast(n), s.s_nationkey == n.n_nationkey).join(F.broadcast(r), n.n_regionkey == r.r_regionkey)
+    sheet = sheet.select(F.col("s_name").alias("Sample Name"), F.col("s_suppkey").cast("string").alias("COSMIC identifier"),
+                         F.col("r_name").alias("GDSC\nTissue descriptor 1"), F.col("n_name").alias("GDSC\nTissue\ndescriptor 2"))
+    return cells_from_frame(sheet)
+
+
+@register("preview_head", f"""WITH {PAIRS_SQL}
+SELECT cell_id, drug_id, dataset, tissue FROM pairs ORDER BY cell_id, drug_id, dataset LIMIT 5""")
+def q_preview_head(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O2: the first rows in key order (a preview: the limit is the operator)."""
+    return pairs_df(spark, sf_dir).select("cell_id", "drug_id", "dataset", "tissue").orderBy(
+        "cell_id", "drug_id", "dataset").limit(5)

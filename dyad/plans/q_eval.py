@@ -321,3 +321,26 @@ def q_weighted_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = p.groupBy("split", "batch").agg(F.avg(F.pow(F.col("ln_ic50") - F.col("pred"), 2)).alias("mse"),
                                         F.count(F.lit(1)).alias("n"))
     return weighted_loss(b, "mse", "n", by="split").withColumn("loss", r6("loss"))
+
+
+@register("split_subset", f"""WITH {PAIRS_SQL}, {SPLIT_SQL}
+SELECT cell_id, drug_id, dataset, round(ln_ic50, 6) ln_ic50 FROM pairs WHERE drug_id IN (SELECT drug_id FROM split WHERE split = 'val')""")
+def q_split_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of one split selected through the assignment table."""
+    from dyad.operators.resolve import subset
+
+    pairs = pairs_df(spark, sf_dir, materialize=True)
+    assign = split_df(spark, sf_dir).select("drug_id", "split").distinct()
+    return subset(pairs, assign, ["drug_id"], "val").select("cell_id", "drug_id", "dataset", r6("ln_ic50").alias("ln_ic50"))
+
+
+@register("train_val_union", f"""WITH {PRED_SQL}
+SELECT split, count(*) n, round(avg(ln_ic50), 6) mean_y FROM pred WHERE split IN ('train', 'val') GROUP BY split
+UNION ALL SELECT 'train+val', count(*), round(avg(ln_ic50), 6) FROM pred WHERE split IN ('train', 'val')""")
+def q_train_val_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Train and val recombined for the final refit (with per-part counts)."""
+    sp = split_df(spark, sf_dir)
+    parts = sp.filter(F.col("split").isin("train", "val"))
+    per = parts.groupBy("split").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("ln_ic50")).alias("mean_y"))
+    both = parts.agg(F.lit("train+val").alias("split"), F.count(F.lit(1)).alias("n"), r6(F.avg("ln_ic50")).alias("mean_y"))
+    return per.unionByName(both)
