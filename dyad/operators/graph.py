@@ -138,30 +138,34 @@ def descriptors(nodes: DataFrame, und_edges: DataFrame, type_col: str, weights:
     return node_agg.join(rot, G, "left").withColumn("rot_bonds", F.coalesce("rot_bonds", F.lit(0)))
 
 
-def to_long_x(x_nodes: DataFrame) -> DataFrame:
-    return x_nodes.select(G, "node_id", F.posexplode("x").alias("dim", "v"))
-
-
-def propagate(x_nodes: DataFrame, und_edges: DataFrame, layers: int = 2) -> DataFrame:
-    """``x <- relu(x + sum of neighbour x)`` per dimension for ``layers``
-    rounds (GIN aggregation with eps 0 and no learned weights).  Long form
-    ``(graph_id, node_id, dim, v)``; each layer is checkpointed."""
-    cur = cut_lineage(to_long_x(x_nodes))
+def _dims(x_nodes: DataFrame, col: str = "x") -> int:
+    row = x_nodes.select(F.size(col).alias("d")).first()
+    return int(row["d"]) if row else 0
+
+
+def propagate(x_nodes: DataFrame, und_edges: DataFrame, layers: int = 2, dims: int | None = None) -> DataFrame:
+    """``x <- relu(x + sum of neighbour x)`` for ``layers`` rounds (GIN
+    aggregation with eps 0 and no learned weights).  Vectors stay one array per
+    node; the neighbour sum is one aggregate column per dimension, so rows are
+    edges, not edges x dims.  Each layer is written out to cut lineage."""
+    d = dims or _dims(x_nodes)
+    cur = cut_lineage(x_nodes.select(G, "node_id", "x"))
     for _ in range(layers):
-        nb = und_edges.join(cur.select(G, F.col("node_id").alias("dst"), "dim", "v"), [G, "dst"]).groupBy(
-            G, F.col("src").alias("node_id"), "dim"
-        ).agg(F.sum("v").alias("_s"))
-        cur = cut_lineage(cur.join(nb, [G, "node_id", "dim"], "left").select(
-            G, "node_id", "dim", F.greatest(F.col("v") + F.coalesce("_s", F.lit(0.0)), F.lit(0.0)).alias("v")
-        ))
+        msgs = und_edges.join(cur.select(G, F.col("node_id").alias("dst"), "x"), [G, "dst"])
+        nb = msgs.groupBy(G, F.col("src").alias("node_id")).agg(
+            F.array(*[F.sum(F.col("x")[i]) for i in range(d)]).alias("_s"))
+        nxt = cur.join(nb, [G, "node_id"], "left").select(
+            G, "node_id",
+            F.transform("x", lambda v, i: F.greatest(v + F.coalesce(F.col("_s")[i], F.lit(0.0)), F.lit(0.0))).alias("x"),
+        )
+        cur = cut_lineage(nxt)
     return cur
 
 
-def mean_pool(long_x: DataFrame) -> DataFrame:
-    """Per-graph mean of node vectors, as an array ordered by dim."""
-    per_dim = long_x.groupBy(G, "dim").agg(F.avg("v").alias("v"))
-    pairs = F.array_sort(F.collect_list(F.struct("dim", "v")))
-    return per_dim.groupBy(G).agg(pairs.alias("_p")).select(G, F.transform("_p", lambda s: s["v"]).alias("pooled"))
+def mean_pool(x_nodes: DataFrame, dims: int | None = None) -> DataFrame:
+    """Per-graph mean of node vectors (one aggregate per dimension)."""
+    d = dims or _dims(x_nodes)
+    return x_nodes.groupBy(G).agg(F.array(*[F.avg(F.col("x")[i]) for i in range(d)]).alias("pooled"))
 
 
 def gather_for_pairs(pairs: DataFrame, pooled: DataFrame, key: str = "drug_id") -> DataFrame:

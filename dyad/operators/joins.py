@@ -9,6 +9,16 @@ from pyspark.sql import functions as F
 
 #: default row bound for a dimension that may be broadcast
 DIM_BROADCAST_ROWS = 1_000_000
+#: byte bound for a broadcast side (Catalyst's size estimate)
+BROADCAST_BYTES = 64 * 1024 * 1024
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """Catalyst's size estimate of the optimised plan (no job).  For scans it is
+    the file size scaled to the projected columns; filters, joins and
+    aggregates do not shrink it, so it errs on the large side."""
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return int(size if isinstance(size, int) else size.toString())
 
 
 def join_small(
@@ -18,14 +28,23 @@ def join_small(
     how: str = "inner",
     max_rows: int = DIM_BROADCAST_ROWS,
     known_rows: int | None = None,
+    max_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
-    """Join ``big`` to ``small``; ``small`` is broadcast only if it has at most
-    ``max_rows`` rows (counted unless ``known_rows`` is given).  Otherwise the
-    join is left to the planner (sort-merge, AQE may still convert or split skew).
+    """Join ``big`` to ``small``, broadcasting ``small`` only behind a size check.
+
+    The check is, in order: a known row count (``known_rows``), Catalyst's size
+    estimate (free), else an exact ``count()``.  Beyond the bound the join is
+    left to the planner: a shuffle join, which AQE may still turn into a
+    broadcast from runtime sizes or split for skewed keys.
     """
-    n = small.count() if known_rows is None else known_rows
-    right = F.broadcast(small) if n <= max_rows else small
-    return big.join(right, on=list(on) if not isinstance(on, str) else on, how=how)
+    keys = list(on) if not isinstance(on, str) else on
+    if known_rows is not None:
+        fits = known_rows <= max_rows
+    elif estimated_bytes(small) <= max_bytes:
+        fits = True
+    else:
+        fits = small.count() <= max_rows
+    return big.join(F.broadcast(small) if fits else small, on=keys, how=how)
 
 
 def duplicate_keys(df: DataFrame, keys: Sequence[str] | str) -> DataFrame:

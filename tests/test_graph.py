@@ -37,7 +37,7 @@ def test_wl_symmetry_and_propagation(spark):
     assert last[(1, 0)] == last[(1, 1)] == last[(1, 2)]      # triangle nodes are equivalent
     assert last[(2, 0)] == last[(2, 2)] != last[(2, 1)]      # path ends vs middle
     prop = gr.propagate(gr.node_features(nodes, ue, TYPES), ue, layers=1)
-    v = {(r["graph_id"], r["node_id"], r["dim"]): r["v"] for r in prop.collect()}
-    assert v[(2, 1, 0)] == 7 + 6 + 6  # own type id plus both neighbours
+    v = {(r["graph_id"], r["node_id"]): r["x"] for r in prop.collect()}
+    assert v[(2, 1)][0] == 7 + 6 + 6  # own type id plus both neighbours
     pooled = {r["graph_id"]: r["pooled"] for r in gr.mean_pool(prop).collect()}
     assert len(pooled[3]) == 5
