@@ -31,12 +31,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
 
 
+#: below this (compressed) size a table is a dimension: one split is fine
+SPREAD_MIN_BYTES = 1 << 20
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Fan a scan out to the cluster's parallelism when the files give fewer
-    splits (one large unsplittable file or row group).  A no-op for a normal
-    multi-file table, whose scan already has enough splits."""
+    """Fan a large scan out to the cluster's parallelism when its files give
+    fewer splits (one big unsplittable file or row group).  A no-op for small
+    dimension tables and for a normal multi-file table, whose scan already has
+    enough splits."""
+    from dyad.operators.joins import estimated_bytes
+
     target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
+    if df.rdd.getNumPartitions() < target and estimated_bytes(df) >= SPREAD_MIN_BYTES:
         return df.repartition(target)
     return df
 
