@@ -28,9 +28,12 @@ def coverage(df: DataFrame, conds: dict[str, object]) -> DataFrame:
     return df.agg(*[F.avg(F.when(c, 1.0).otherwise(0.0)).alias(n) for n, c in conds.items()])
 
 
-def distinct_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Exact distinct counts."""
-    return df.agg(*[F.countDistinct(c).alias(f"n_{c}") for c in cols])
+def distinct_counts(df: DataFrame, cols: Sequence[str], with_rows: bool = False) -> DataFrame:
+    """Exact distinct counts (and the row count, A14) in one aggregation."""
+    aggs = [F.countDistinct(c).alias(f"n_{c}") for c in cols]
+    if with_rows:
+        aggs.append(F.count(F.lit(1)).alias("n_rows"))
+    return df.agg(*aggs)
 
 
 def value_counts(df: DataFrame, col: str, top: int = 20) -> DataFrame:

@@ -184,8 +184,8 @@ def q_distinct_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from dyad.operators.profile import distinct_counts
 
     pairs = pairs_df(spark, sf_dir)
-    return distinct_counts(pairs, ["cell_id", "drug_id"]).crossJoin(
-        pairs.agg(F.count(F.lit(1)).alias("n_rows"))).withColumn("n_columns", F.lit(len(pairs.columns)))
+    counts = distinct_counts(pairs, ["cell_id", "drug_id"], with_rows=True)
+    return counts.withColumn("n_columns", F.lit(len(pairs.columns)))
 
 
 # ------------------------------------------------------------------ metrics

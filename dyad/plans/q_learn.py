@@ -242,7 +242,7 @@ def q_early_stop_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T7 as a Structured Streaming job: the events table is replayed as a
     file stream into a stateful per-run operator; the last update of each run
     equals the batch replay."""
-    import tempfile
+    import uuid
 
     from dyad.session import ensure_checkpoint_dir
     from dyad.streaming.early_stop import early_stop_stream
@@ -252,7 +252,7 @@ def q_early_stop_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     out = early_stop_stream(stream, "user_id", "value", ["ts", "event_id"], PATIENCE, MIN_DELTA)
     ckpt_root = ensure_checkpoint_dir(spark)
-    name = f"early_stop_{abs(hash((sf_dir, tempfile.mktemp()))) % 10**9}"
+    name = f"early_stop_{uuid.uuid4().hex[:12]}"
     q = (out.writeStream.outputMode("update").format("memory").queryName(name)
          .option("checkpointLocation", f"{ckpt_root}/stream-{name}").start())
     try:
