@@ -21,7 +21,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dyad.operators.joins import join_small
+from dyad.operators.joins import HOT_KEY_ROWS, join_back, join_small
 from dyad.session import cut_lineage
 
 #: groups above this many rows take the distributed path in :func:`group_quantiles`
@@ -121,7 +121,8 @@ def value_counts(df: DataFrame, value: str, by: Sequence[str] | str | None = Non
 
 
 def average_ranks(
-    df: DataFrame, value: str, by: Sequence[str] | str | None = None, out: str | None = None
+    df: DataFrame, value: str, by: Sequence[str] | str | None = None, out: str | None = None,
+    hot_rows: int = HOT_KEY_ROWS,
 ) -> DataFrame:
     """Average rank (1-based, ties share the mean of their positions) of ``value``
     within ``by``; null values get a null rank.  Same as ``scipy.stats.rankdata``.
@@ -129,10 +130,10 @@ def average_ranks(
     by = _names(by)
     out = out or f"{value}_rank"
     ranks = prefix_totals(value_counts(df, value, by), [value], by, weight="_c", out="_lt")
-    ranks = ranks.select(*by, value, (F.col("_lt") + (F.col("_c") + F.lit(1)) / F.lit(2.0)).alias(out))
-    # Join back on the value: a value held by many rows is one row on the right,
-    # and AQE's skew-join split takes care of its many rows on the left.
-    return df.join(ranks, on=by + [value], how="left")
+    ranks = ranks.select(*by, value, "_c", (F.col("_lt") + (F.col("_c") + F.lit(1)) / F.lit(2.0)).alias(out))
+    # Join back on the value: a value held by many rows is salted over many
+    # tasks (its count is known from the value table).
+    return join_back(df, ranks, by + [value], "_c", how="left", hot_rows=hot_rows)
 
 
 def _interp(lo: Column, hi: Column, frac: Column) -> Column:

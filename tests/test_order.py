@@ -46,3 +46,12 @@ def test_running_min(spark):
     df = spark.createDataFrame(list(enumerate(vals)), "n long, v double")
     got = [r["m"] for r in prefix_agg(df, ["n"], None, "v", "min", inclusive=True, out="m", buckets=3).orderBy("n").collect()]
     assert got == [5.0, 3.0, 3.0, 1.0, 1.0, 0.5]
+
+
+def test_salted_join_back_equals_plain(spark):
+    # one value holds most rows: with a tiny hot threshold it is salted
+    rows = [(i, 1.0 if i % 4 else float(i)) for i in range(400)]
+    df = spark.createDataFrame(rows, "i long, v double")
+    plain = {r["i"]: r["r"] for r in average_ranks(df, "v", out="r").collect()}
+    salted = {r["i"]: r["r"] for r in average_ranks(df, "v", out="r", hot_rows=10).collect()}
+    assert plain == salted and len(salted) == 400
