@@ -240,8 +240,8 @@ def q_oof_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("early_stop_stream", ORACLE_EARLY_STOP)
 def q_early_stop_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T7 as a Structured Streaming job: the events table is replayed as a
-    file stream into a stateful per-run operator; the last update of each run
-    equals the batch replay."""
+    file stream into a stateful per-run operator whose updates are appended to
+    a durable table; the last update of each run equals the batch replay."""
     import uuid
 
     from dyad.session import ensure_checkpoint_dir
@@ -251,15 +251,16 @@ def q_early_stop_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     # a file stream watches a directory; the glob picks the events file out of it
     stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     out = early_stop_stream(stream, "user_id", "value", ["ts", "event_id"], PATIENCE, MIN_DELTA)
-    ckpt_root = ensure_checkpoint_dir(spark)
-    name = f"early_stop_{uuid.uuid4().hex[:12]}"
-    q = (out.writeStream.outputMode("update").format("memory").queryName(name)
-         .option("checkpointLocation", f"{ckpt_root}/stream-{name}").start())
-    try:
-        q.processAllAvailable()
-    finally:
-        q.stop()
-    updates = spark.table(name)
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/streams/early_stop_{uuid.uuid4().hex[:12]}"
+
+    def append(batch: DataFrame, batch_id: int) -> None:
+        # each micro-batch's updated runs go to a durable table, tagged by batch
+        batch.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(f"{root}/updates")
+
+    q = (out.writeStream.outputMode("update").foreachBatch(append)
+         .option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start())
+    q.awaitTermination()
+    updates = spark.read.parquet(f"{root}/updates")
     last = updates.groupBy("run").agg(F.max_by(F.struct("best", "best_epoch", "stop_epoch", "n_epochs"),
-                                               "n_epochs").alias("s"))
+                                               F.struct("batch_id", "n_epochs")).alias("s"))
     return last.select("run", r6("s.best").alias("best"), "s.best_epoch", "s.stop_epoch", "s.n_epochs")
