@@ -9,7 +9,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from dyad.operators.order import _names, distributed_quantiles
+from dyad.operators.order import _names, global_quantiles
 
 
 def first_by_key(df: DataFrame, keys: Sequence[str] | str, order: Sequence[str] | str,
@@ -51,9 +51,10 @@ def describe(df: DataFrame, col: str) -> DataFrame:
         F.count(col).alias("count"), F.avg(col).alias("mean"), F.stddev_samp(col).alias("std"),
         F.min(col).alias("min"), F.max(col).alias("max"),
     )
-    qs = distributed_quantiles(df, col, [0.25, 0.5, 0.75], names=["p25", "p50", "p75"])
-    # Both sides are a single row: join on a constant key column.
-    return basic.withColumn("_one", F.lit(1)).join(qs.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    # three exact quartiles (distributed), inlined as literals: no join of two one-row frames
+    q = global_quantiles(df, col, [0.25, 0.5, 0.75])
+    return basic.select("count", "mean", "std", "min", *[F.lit(v).cast("double").alias(n) for v, n in
+                                                        zip(q, ["p25", "p50", "p75"])], "max")
 
 
 def feature_stats(long_df: DataFrame, feature: str = "feature", value: str = "value") -> DataFrame:
