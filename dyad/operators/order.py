@@ -72,7 +72,7 @@ def prefix_agg(
     local = ranged.withColumn("_in", fn(w).over(inside))
     if not by:
         # One group: at most n_buckets summaries -- fold them on the driver and
-        # inline the offsets as a literal array indexed by bucket (no join).
+        # broadcast the (bucket, offset) pairs.
         summary = {r["_bucket"]: r["_bt"] for r in bucket_tot.collect()}
         offs, acc, grand = [], None, None
         for b in range(n_buckets):
@@ -81,7 +81,14 @@ def prefix_agg(
             if v is not None:
                 acc = v if acc is None else ({"sum": acc + v, "min": min(acc, v), "max": max(acc, v)}[how])
         grand = acc
-        res = local.withColumn("_off", F.array(*[F.lit(o) for o in offs])[F.col("_bucket")])
+        # (bucket, offset) has exactly n_buckets rows: a proven bound for a broadcast
+        vtype = ranged.schema[value].dataType.simpleString() if value else "bigint"
+        if how == "sum" and vtype in ("tinyint", "smallint", "int"):
+            vtype = "bigint"
+        cast = float if vtype in ("double", "float") else (lambda o: o)
+        off_df = spark.createDataFrame([(b, None if o is None else cast(o)) for b, o in enumerate(offs)],
+                                       f"_bucket int, _off {vtype}")
+        res = local.join(F.broadcast(off_df), "_bucket", "left")
         if total:
             res = res.withColumn(total, F.lit(grand))
     else:

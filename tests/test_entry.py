@@ -28,3 +28,13 @@ def test_ranks_have_no_single_partition_exchange(spark):
     df = spark.range(1000).selectExpr("id", "cast(id % 13 as double) v")
     plan = average_ranks(df, "v", out="r")._jdf.queryExecution().executedPlan().toString()
     assert "SinglePartition" not in plan
+
+
+def test_registered_plans_have_no_cartesian_steps(spark, sf_dir):
+    import __spark_entry__ as entry_mod
+
+    qs = entry_mod.queries()
+    for name in ["clean_pairs", "describe", "avg_rank", "group_split", "resolve_priority", "wl_fingerprint",
+                 "token_pad_mask", "assemble"]:
+        plan = qs[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
