@@ -143,6 +143,29 @@ def average_ranks(
     return join_back(df, ranks, by + [value], "_c", how="left", hot_rows=hot_rows)
 
 
+def average_ranks_many(
+    df: DataFrame, values: Sequence[str], outs: Sequence[str], by: Sequence[str] | str | None = None,
+    hot_rows: int = HOT_KEY_ROWS,
+) -> DataFrame:
+    """Average ranks of several columns in one ordering pass: the columns'
+    distinct values are stacked under a column tag, ordered together (the tag
+    is part of the group), then joined back column by column."""
+    by = _names(by)
+    stacked = None
+    for i, v in enumerate(values):
+        part = df.select(*by, F.lit(i).alias("_col"), F.col(v).cast("double").alias("_v"))
+        stacked = part if stacked is None else stacked.unionByName(part)
+    counts = value_counts(stacked, "_v", by + ["_col"])
+    ranks = prefix_totals(counts, ["_v"], by + ["_col"], weight="_c", out="_lt")
+    ranks = ranks.select(*by, "_col", "_v", "_c", (F.col("_lt") + (F.col("_c") + F.lit(1)) / F.lit(2.0)).alias("_r"))
+    ranks = cut_lineage(ranks)
+    out = df
+    for i, (v, name) in enumerate(zip(values, outs)):
+        one = ranks.filter(F.col("_col") == i).select(*by, F.col("_v").alias(v), "_c", F.col("_r").alias(name))
+        out = join_back(out, one, by + [v], "_c", how="left", hot_rows=hot_rows)
+    return out
+
+
 def _interp(lo: Column, hi: Column, frac: Column) -> Column:
     return lo + frac * (hi - lo)
 
