@@ -21,11 +21,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dyad.operators.joins import HOT_KEY_ROWS, join_back, join_small
+from dyad.operators.joins import HOT_KEY_ROWS, estimated_bytes, join_back, join_small
 from dyad.session import cut_lineage
 
 #: groups above this many rows take the distributed path in :func:`group_quantiles`
 HOT_GROUP_ROWS = 2_000_000
+#: target (estimated) bytes per range bucket in :func:`prefix_agg`
+BUCKET_BYTES = 64 * 1024 * 1024
 
 
 def _names(cols: Sequence[str] | str | None) -> list[str]:
@@ -51,11 +53,17 @@ def prefix_agg(
     ``value=None``) in ``order`` within ``by`` groups, without a window over a group.
 
     Strictly-before rows only unless ``inclusive``.  ``total`` adds the group's
-    total.  ``buckets`` defaults to ``spark.sql.shuffle.partitions``.
+    total.  ``buckets`` defaults to one per :data:`BUCKET_BYTES` of Catalyst's
+    size estimate, capped at ``spark.sql.shuffle.partitions``.
     """
     order, by = _names(order), _names(by)
     spark = df.sparkSession
-    n_buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if buckets is None:
+        # one bucket per BUCKET_BYTES of (over-)estimated input, at most the
+        # shuffle partition count: a bucket's window never exceeds that size
+        est = estimated_bytes(df)
+        buckets = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-est // BUCKET_BYTES)))
+    n_buckets = buckets
     fn = {"sum": F.sum, "min": F.min, "max": F.max}[how]
     w = F.col(value) if value else F.lit(1)
     # Range partitions are the buckets; the checkpoint pins each row's bucket so

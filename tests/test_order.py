@@ -55,3 +55,16 @@ def test_salted_join_back_equals_plain(spark):
     plain = {r["i"]: r["r"] for r in average_ranks(df, "v", out="r").collect()}
     salted = {r["i"]: r["r"] for r in average_ranks(df, "v", out="r", hot_rows=10).collect()}
     assert plain == salted and len(salted) == 400
+
+
+def test_grouped_prefix_sums_across_buckets(spark):
+    from dyad.operators.order import prefix_totals
+
+    rows = [(g, i, float(i % 5)) for g in ("a", "b", "c") for i in range(40 if g == "a" else 7)]
+    df = spark.createDataFrame(rows, "g string, i long, w double")
+    got = {(r["g"], r["i"]): r["lt"] for r in prefix_totals(df, ["i"], "g", weight="w", out="lt", buckets=4).collect()}
+    for g in ("a", "b", "c"):
+        acc = 0.0
+        for i in range(40 if g == "a" else 7):
+            assert got[(g, i)] == acc
+            acc += float(i % 5)
