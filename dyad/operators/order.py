@@ -54,15 +54,18 @@ def prefix_agg(
 
     Strictly-before rows only unless ``inclusive``.  ``total`` adds the group's
     total.  ``buckets`` defaults to one per :data:`BUCKET_BYTES` of Catalyst's
-    size estimate, capped at ``spark.sql.shuffle.partitions``.
+    size estimate, at least the default parallelism and at most
+    ``spark.sql.shuffle.partitions``.
     """
     order, by = _names(order), _names(by)
     spark = df.sparkSession
     if buckets is None:
-        # one bucket per BUCKET_BYTES of (over-)estimated input, at most the
-        # shuffle partition count: a bucket's window never exceeds that size
+        # one bucket per BUCKET_BYTES of (over-)estimated input, at least the
+        # cluster's parallelism, at most the shuffle partition count
         est = estimated_bytes(df)
-        buckets = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-est // BUCKET_BYTES)))
+        cap = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        floor = min(cap, spark.sparkContext.defaultParallelism)
+        buckets = max(1, floor, min(cap, -(-est // BUCKET_BYTES)))
     n_buckets = buckets
     fn = {"sum": F.sum, "min": F.min, "max": F.max}[how]
     w = F.col(value) if value else F.lit(1)
