@@ -39,26 +39,87 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8, app: st
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's shared ``spark.checkpoint.dir``; create a scratch one only when unset (tests)."""
+    """The cluster's shared ``spark.checkpoint.dir``.
+
+    Only a local master (tests, bench) may run without one: it gets a scratch
+    folder.  Anywhere else executors would each write to their own disk, so an
+    unset folder is an error."""
     sc = spark.sparkContext
     configured = spark.conf.get(CHECKPOINT_CONF, None) or sc.getConf().get(CHECKPOINT_CONF, None)
     current = sc.getCheckpointDir()
     if current:
         return current
     if not configured:
+        if not _is_local(sc.master):
+            raise ValueError(f"set {CHECKPOINT_CONF} to a folder that all executors share (master {sc.master})")
         configured = tempfile.mkdtemp(prefix="dyad-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set(CHECKPOINT_CONF, configured)
     sc.setCheckpointDir(configured)
     return configured
 
 
+def _is_local(master: str) -> bool:
+    return master == "local" or master.startswith("local[")
+
+
+#: open scopes of :func:`scratch`, innermost last; the first holds what no scope owns
+_SCOPES: list[dict[str, SparkSession]] = [{}]
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    if spark.sparkContext._jsc is None:  # the session has ended
+        return
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+
+
+def release_tables() -> None:
+    """Delete every table that :func:`cut_lineage` wrote and no open scope
+    owns.  Call it when no frame that reads them is used any more."""
+    while _SCOPES[0]:
+        path, spark = _SCOPES[0].popitem()
+        _remove(spark, path)
+
+
+class scratch:
+    """Scope for intermediate tables: on exit, tables cut inside it are deleted
+    except those handed to :meth:`keep`, which pass to the enclosing scope.
+
+    ``with scratch() as s: ...; return s.keep(cut_lineage(df))``"""
+
+    def __enter__(self) -> scratch:
+        self._own: dict[str, SparkSession] = {}
+        _SCOPES.append(self._own)
+        return self
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        path = getattr(df, "_table_path", None)
+        if path in self._own:
+            _SCOPES[next(i for i, s in enumerate(_SCOPES) if s is self._own) - 1][path] = self._own.pop(path)
+        return df
+
+    def __exit__(self, *exc) -> None:
+        _SCOPES[:] = [s for s in _SCOPES if s is not self._own]
+        for path, spark in self._own.items():
+            _remove(spark, path)
+
+
+def new_table_path(spark: SparkSession) -> str:
+    """A fresh folder under the shared checkpoint directory, owned by the innermost scope."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    _SCOPES[-1][path] = spark
+    return path
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` once as a parquet table under the shared checkpoint
     directory and read it back: the lineage is cut, the data survives executor
     loss, and later jobs scan a columnar table (pruned to what they use).
-    One job, unlike ``Dataset.checkpoint`` which computes the plan twice."""
+    One job, unlike ``Dataset.checkpoint`` which computes the plan twice.
+    The innermost :func:`scratch` scope owns the table."""
     spark = df.sparkSession
-    root = ensure_checkpoint_dir(spark)
-    path = f"{root.rstrip('/')}/tables/{uuid.uuid4().hex}"
+    path = new_table_path(spark)
     df.write.mode("error").parquet(path)
-    return spark.read.parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._table_path = path
+    return table
