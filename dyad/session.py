@@ -94,8 +94,9 @@ class scratch:
 
     def keep(self, df: DataFrame) -> DataFrame:
         path = getattr(df, "_table_path", None)
-        if path in self._own:
-            _SCOPES[next(i for i, s in enumerate(_SCOPES) if s is self._own) - 1][path] = self._own.pop(path)
+        if path not in self._own:
+            raise ValueError("keep() takes a frame that cut_lineage() returned in this scope")
+        _SCOPES[next(i for i, s in enumerate(_SCOPES) if s is self._own) - 1][path] = self._own.pop(path)
         return df
 
     def __exit__(self, *exc) -> None:
