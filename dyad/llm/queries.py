@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from dyad.llm.chaining import shared_passages
 from dyad.llm.common import table
 from dyad.llm.language_id import identify
 from dyad.llm.online_pack import pack_documents
@@ -39,3 +40,8 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@register
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shared_passages(table(spark, sf_dir, "documents"))
