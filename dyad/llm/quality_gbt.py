@@ -24,7 +24,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dyad.llm.common import append_columns, text_slices
-from dyad.session import cut_lineage, scratch
 
 MIN_WORDS = 50
 MAX_TRAIN = 20_000
@@ -197,42 +196,49 @@ def base_failed() -> Column:
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
-def train(counted: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Forest:
+def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Forest:
     """Forest for ``labels.quality`` (0/1), fitted on the ``max_train`` labelled
     documents whose ids have the smallest hashes."""
     chosen = (labels.select("doc_id", "quality").filter("doc_id is not null and quality in (0, 1)")
               .groupBy("doc_id").agg(F.max("quality").alias("quality"))
               .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train))
-    rows = (counted.select("doc_id", *COUNTS).join(F.broadcast(chosen), "doc_id")  # at most max_train rows
-            .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train).toPandas())
-    signs = tuple(FEATURES.values())
-    return fit(features(rows[list(COUNTS)].to_numpy(np.float64).reshape(len(rows), len(COUNTS))), rows.quality.to_numpy(np.float64), signs)
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most max_train rows
+    rows = (append_counts(texts).drop("text").orderBy(F.xxhash64("doc_id"), "doc_id", *COUNTS).limit(max_train).toPandas())
+    counts = rows[list(COUNTS)].to_numpy(np.float64).reshape(len(rows), len(COUNTS))
+    return fit(features(counts), rows.quality.to_numpy(np.float64), tuple(FEATURES.values()))
 
 
-def append_score(counted: DataFrame, forest: Forest, name: str = "quality_score") -> DataFrame:
-    shared = counted.sparkSession.sparkContext.broadcast(forest)
+def append_verdict(docs: DataFrame, forest: Forest, threshold: float = THRESHOLD) -> DataFrame:
+    """``docs`` (columns passed through) plus ``COUNTS``, ``quality_score``,
+    ``base_failed`` and ``kept``; columns of these names are replaced."""
+    shared = docs.sparkSession.sparkContext.broadcast(forest)
 
     def run(columns: list[pa.Array]) -> list:
-        counts = np.stack([c.to_numpy() for c in columns], axis=1)
-        return [pa.array(shared.value.score(features(counts)))]
+        rows = [text_counts(t) for _, texts in text_slices(columns[0]) for t in texts]
+        made = np.array(rows, np.int64).reshape(len(rows), len(COUNTS))
+        return [*(pa.array(c) for c in made.T), pa.array(shared.value.score(features(made)))]
 
-    return append_columns(counted, list(COUNTS), run, [(name, T.DoubleType())])
+    fields = [(c, T.LongType()) for c in COUNTS] + [("quality_score", T.DoubleType())]
+    scored = append_columns(docs, ["text"], run, fields)
+    return scored.withColumn("base_failed", base_failed()).withColumn(
+        "kept", ~F.col("base_failed") & (F.col("quality_score") >= threshold))
 
 
-def append_verdict(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` (columns passed through) plus ``COUNTS``, ``quality_score``,
-    ``base_failed`` and ``kept``."""
-    with scratch() as tables:
-        counted = tables.keep(cut_lineage(append_counts(docs)))
-        scored = append_score(counted, train(counted, labels, max_train))
-        return scored.withColumn("base_failed", base_failed()).withColumn(
-            "kept", ~F.col("base_failed") & (F.col("quality_score") >= threshold))
+def append_kept(docs: DataFrame, forest: Forest, name: str, threshold: float = THRESHOLD) -> DataFrame:
+    """``docs`` (columns passed through) plus the boolean ``name``: base rule passed and score high enough."""
+    shared = docs.sparkSession.sparkContext.broadcast(forest)
+
+    def run(columns: list[pa.Array]) -> list:
+        rows = [text_counts(t) for _, texts in text_slices(columns[0]) for t in texts]
+        made = np.array(rows, np.int64).reshape(len(rows), len(COUNTS))
+        n_words, repeated = made[:, COUNTS.index("n_words")], made[:, COUNTS.index("n_repeat_words")]
+        failed = (n_words < MIN_WORDS) | (100 * repeated > 50 * n_words)
+        return [pa.array(~failed & (shared.value.score(features(made)) >= threshold))]
+
+    return append_columns(docs, ["text"], run, [(name, T.BooleanType())])
 
 
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``doc_id``, the counts, ``base_failed``, ``kept`` and ``quality_score`` of every row of ``docs``."""
-    with scratch() as tables:
-        counted = tables.keep(cut_lineage(append_counts(docs.select("doc_id", "text")).drop("text")))
-        scored = append_score(counted, train(counted, labels))
-        return scored.select("doc_id", *COUNTS[:5], base_failed().alias("base_failed"),
-                             (~base_failed() & (F.col("quality_score") >= THRESHOLD)).alias("kept"), "quality_score")
+    scored = append_verdict(docs.select("doc_id", "text"), train(docs, labels))
+    return scored.select("doc_id", *COUNTS[:5], "base_failed", "kept", "quality_score")

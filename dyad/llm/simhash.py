@@ -162,21 +162,38 @@ def _large_cell(fp, label, side, alone: bool, max_bits: int):
     return stars(a, b) if len(a) else (a, b)
 
 
-def simhash_components(docs: DataFrame, k: int = SHINGLE_WORDS, max_bits: int = MAX_BITS, blocks: int | None = None,
-                       more: tuple[str, ...] = ()) -> DataFrame:
+def _components(rows: DataFrame, max_bits: int, blocks: int | None) -> DataFrame:
+    """``fp, root`` for every distinct fingerprint of ``rows``."""
+    with scratch() as tables:
+        fps = cut_lineage(rows.select("fp").distinct())
+        component = connected_components(close_links(fps, max_bits, blocks)).withColumnRenamed("node", "fp")
+        return tables.keep(cut_lineage(fps.join(component, "fp", "left").select("fp", F.coalesce("component", "fp").alias("root"))))
+
+
+def simhash_components(docs: DataFrame, k: int = SHINGLE_WORDS, max_bits: int = MAX_BITS, blocks: int | None = None) -> DataFrame:
     """``doc_id, fingerprint`` (hex), ``component_id`` (smallest ``doc_id``
-    reachable) for every row of ``docs``, and its columns ``more``."""
+    reachable) for every row of ``docs``."""
     with scratch() as tables:
-        rows = cut_lineage(fingerprints(docs.select("doc_id", "text", *more), k=k).drop(
-            *(() if "text" in more else ("text",))))
-        per_fp = cut_lineage(rows.groupBy("fp").agg(F.min("doc_id").alias("low")))
-        component = connected_components(close_links(per_fp.select("fp"), max_bits, blocks))
-        # the smallest id of a component: over its fingerprints, found under their root
-        rooted = per_fp.join(component.withColumnRenamed("node", "fp"), "fp", "left").select(
-            "fp", "low", F.coalesce("component", "fp").alias("root"))
-        lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-        ids = cut_lineage(rooted.join(lowest, "root").select("fp", "component_id"))
-        tables.keep(rows)
-        tables.keep(ids)
+        rows = tables.keep(cut_lineage(fingerprints(docs.select("doc_id", "text"), k=k).drop("text")))
+        roots = _components(rows, max_bits, blocks)
+        per_fp = rows.groupBy("fp").agg(F.min("doc_id").alias("low")).join(roots, "fp")
+        lowest = per_fp.groupBy("root").agg(F.min("low").alias("component_id"))
+        ids = tables.keep(cut_lineage(roots.join(lowest, "root").select("fp", "component_id")))
         return rows.join(ids, "fp").select(
-            "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", *more)
+            "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_per_component(docs: DataFrame, k: int = SHINGLE_WORDS, max_bits: int = MAX_BITS, blocks: int | None = None) -> DataFrame:
+    """The rows of ``docs`` (columns as they are) that stay: in every component
+    the one with the smallest ``doc_id`` (null last), exactly one even where
+    rows repeat."""
+    own = {"fp": "_simhash_fp", "row": "_simhash_row"}
+    with scratch() as tables:
+        numbered = docs.withColumn(own["row"], F.monotonically_increasing_id())
+        rows = tables.keep(cut_lineage(fingerprints(numbered, own["fp"], k)))
+        small = rows.select("doc_id", F.col(own["fp"]).alias("fp"), F.col(own["row"]).alias("row"))
+        first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first")
+        per_fp = small.groupBy("fp").agg(first).join(_components(small, max_bits, blocks), "fp")
+        kept = per_fp.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias(own["row"]))
+        kept = tables.keep(cut_lineage(kept))
+        return rows.join(kept, own["row"], "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
