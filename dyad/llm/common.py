@@ -18,7 +18,7 @@ DOC_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: a word is a run of anything but these (space, tab to carriage return): what ``bytes.split()`` splits on
 WORD = r"[^\x20\x09-\x0D]+"
 #: text handled at once inside one Arrow batch
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dyad.llm.common import slices
-from dyad.llm.tokens import END_ID, default_tokenizer, encoder, with_end
+from dyad.llm.tokens import END_ID, SLICE_BYTES, default_tokenizer, encoder, with_end
 from dyad.session import cut_lineage, scratch
 
 LENGTH = 1024
@@ -53,7 +53,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH,
         for batch in batches:
             texts = batch.column(1)
             sizes = np.asarray(pc.fill_null(pc.binary_length(texts), 0))
-            for a, b in slices(sizes):
+            for a, b in slices(sizes, SLICE_BYTES):
                 yield cut(batch.column(0).slice(a, b - a), *with_end(*encoder(path).encode(texts.slice(a, b - a)), end_id))
 
     def cut(doc_ids, ids, lengths):

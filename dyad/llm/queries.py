@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from dyad.llm.chaining import shared_passages
 from dyad.llm.common import table
+from dyad.llm.embedding_dedup import embedding_components
 from dyad.llm.language_id import identify
 from dyad.llm.online_pack import pack_documents
 from dyad.llm.quality_gbt import quality
@@ -45,3 +46,8 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_passages(table(spark, sf_dir, "documents"))
+
+
+@register
+def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_components(table(spark, sf_dir, "embeddings"))

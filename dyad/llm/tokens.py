@@ -21,8 +21,10 @@ from dyad.llm.common import ranges
 
 #: id that ends a document
 END_ID = 2
-#: chunks kept per Python worker
-CACHE_CHUNKS = 1_000_000
+#: chunks kept per Python worker (about 200 bytes each); once full, it keeps what it has: frequent chunks come early
+CACHE_CHUNKS = 400_000
+#: text encoded at once
+SLICE_BYTES = 4 << 20
 #: texts encoded per call when they cannot be split
 WHOLE_BATCH = 64
 
@@ -49,10 +51,10 @@ class BpeEncoder:
 
         self._tokenizer = Tokenizer.from_file(path)
         self._special = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
-        self._cache: dict[str, np.ndarray] = {}
+        self._cache: dict[str, bytes] = {}
 
-    def _encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.uint32) for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """``(ids, lengths)``: the concatenated ids of the texts (null: none) and each text's number of ids."""
@@ -67,11 +69,11 @@ class BpeEncoder:
         easy, lengths[~whole] = self._split(texts.filter(pa.array(~whole)))
         hard_texts = texts.filter(pa.array(whole)).to_pylist()
         hard = [ids for at in range(0, len(hard_texts), WHOLE_BATCH) for ids in self._encode(hard_texts[at : at + WHOLE_BATCH])]
-        lengths[whole] = [len(x) for x in hard]
+        lengths[whole] = [len(x) // 4 for x in hard]
         starts = np.cumsum(lengths) - lengths
         out = np.empty(int(lengths.sum()), np.uint32)
         out[ranges(starts[~whole], lengths[~whole])] = easy
-        out[ranges(starts[whole], lengths[whole])] = np.concatenate(hard)
+        out[ranges(starts[whole], lengths[whole])] = np.frombuffer(b"".join(hard), "<u4")
         return out, lengths
 
     def _split(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -97,13 +99,12 @@ class BpeEncoder:
     def _chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         cache = self._cache
         new = [c for c in dict.fromkeys(chunks) if c not in cache]
-        if len(cache) + len(new) > CACHE_CHUNKS:
-            cache.clear()
-            new = list(dict.fromkeys(chunks))
-        cache.update(zip(new, self._encode(new)))
-        found = [cache[c] for c in chunks]
-        lengths = np.fromiter(map(len, found), np.int64, len(found))
-        return (np.concatenate(found) if found else np.zeros(0, np.uint32)), lengths
+        own = dict(zip(new, self._encode(new)))
+        found = [cache[c] if c in cache else own[c] for c in chunks]
+        for c in new[: max(CACHE_CHUNKS - len(cache), 0)]:
+            cache[c] = own[c]
+        lengths = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        return np.frombuffer(b"".join(found), "<u4"), lengths
 
 
 def with_end(ids: np.ndarray, lengths: np.ndarray, end_id: int = END_ID) -> tuple[np.ndarray, np.ndarray]:
