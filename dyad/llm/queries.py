@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from dyad.llm.binary_pack import digests, packed_sequences
 from dyad.llm.chaining import shared_passages
 from dyad.llm.common import table
 from dyad.llm.embedding_dedup import embedding_components
+from dyad.llm.kd_shards import shard_documents
 from dyad.llm.language_id import identify
 from dyad.llm.online_pack import pack_documents
 from dyad.llm.quality_gbt import quality
@@ -51,3 +53,13 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_components(table(spark, sf_dir, "embeddings"))
+
+
+@register
+def op2_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_documents(table(spark, sf_dir, "documents"))
+
+
+@register
+def op5_binary_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests(packed_sequences(table(spark, sf_dir, "documents")))
