@@ -15,6 +15,8 @@ from dyad.llm.language_id import identify
 from dyad.llm.online_pack import pack_documents
 from dyad.llm.quality_gbt import quality
 from dyad.llm.simhash import simhash_components
+from dyad.llm.spm import encode_documents
+from dyad.llm.toxicity import toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -63,3 +65,13 @@ def op2_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op5_binary_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(packed_sequences(table(spark, sf_dir, "documents")))
+
+
+@register
+def op1_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@register
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_documents(table(spark, sf_dir, "documents"), with_ids=False)

@@ -12,6 +12,7 @@ text of a special token, are encoded whole."""
 from __future__ import annotations
 
 import os
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ SLICE_BYTES = 4 << 20
 #: texts encoded per call when they cannot be split
 WHOLE_BATCH = 64
 
-_ENCODERS: dict[str, BpeEncoder] = {}
+_ENCODERS: dict[str, ChunkEncoder] = {}
 
 
 def default_tokenizer() -> str:
@@ -37,20 +38,24 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def encoder(path: str) -> BpeEncoder:
-    """The worker's encoder for a tokenizer file."""
+def encoder(path: str) -> ChunkEncoder:
+    """The worker's byte-level encoder for a tokenizer file."""
     if path not in _ENCODERS:
-        _ENCODERS[path] = BpeEncoder(path)
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one task per core
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(path)
+        special = [re.escape(t.content) for t in tokenizer.get_added_tokens_decoder().values()]
+        _ENCODERS[path] = ChunkEncoder(tokenizer, " ", "|".join(["  ", *special]))
     return _ENCODERS[path]
 
 
-class BpeEncoder:
-    def __init__(self, path: str) -> None:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one task per core
-        from tokenizers import Tokenizer
+class ChunkEncoder:
+    """Encodes texts by their chunks between single spaces.  ``space`` goes
+    before every chunk but a text's first; texts that match ``whole`` are not split."""
 
-        self._tokenizer = Tokenizer.from_file(path)
-        self._special = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
+    def __init__(self, tokenizer, space: str, whole: str) -> None:
+        self._tokenizer, self._space, self._whole = tokenizer, space, whole
         self._cache: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
@@ -59,10 +64,7 @@ class BpeEncoder:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """``(ids, lengths)``: the concatenated ids of the texts (null: none) and each text's number of ids."""
         texts = pc.fill_null(texts, "")
-        whole = pc.match_substring(texts, "  ")
-        for special in self._special:
-            whole = pc.or_(whole, pc.match_substring(texts, special))
-        whole = whole.to_numpy(zero_copy_only=False)
+        whole = pc.match_substring_regex(texts, self._whole).to_numpy(zero_copy_only=False)
         if not whole.any():
             return self._split(texts)
         lengths = np.zeros(len(texts), np.int64)
@@ -85,7 +87,7 @@ class BpeEncoder:
         coded = parts.flatten().dictionary_encode()
         at = coded.indices.to_numpy()
         first = offsets[:-1]  # a text's first chunk has no space before it
-        ids, lengths = self._chunks([" " + c for c in coded.dictionary.to_pylist()])
+        ids, lengths = self._chunks([self._space + c for c in coded.dictionary.to_pylist()])
         starts = np.cumsum(lengths) - lengths
         heads, head_lengths = self._chunks(coded.dictionary.take(pa.array(at[first])).to_pylist())
         piece_lengths = lengths[at]
