@@ -5,9 +5,9 @@ fixed random rotation, vectors are split into blocks of a few dimensions; a
 close pair is, in at least one block, within that block's share of the squared
 distance (its share of the dimensions).  So a range join per block finds every
 close pair: a block's leading coordinates are cut into cells wider than the
-block's range, a vector goes to its own cell and to those its range box
-reaches, and a pair meets in the cell of its coordinate-wise larger corner.
-Candidates of all blocks are verified exactly, by cosine in double precision;
+block's range, a vector goes to its own cell and to those that its range
+reaches upwards, and a pair meets in the cell of its coordinate-wise larger
+corner.  Inside a cell, block distances come from matrix products.  Candidates of all blocks are verified exactly, by cosine in double precision;
 the first block that a pair is close in counts it, so it counts once.
 
 Equal vectors of a label are one class: copies never meet each other.  Links
@@ -40,7 +40,7 @@ CELL_DIMS = 3
 CELL_WIDTH = 2.0
 #: rotation and rounding move squared distances by less than this
 SLACK = 1e-6
-PAIRS_AT_ONCE = 1 << 16
+ROWS_AT_ONCE = 256
 _ROTATIONS: dict[int, np.ndarray] = {}
 
 
@@ -88,7 +88,7 @@ def _cell_rows(cosine: float):
                     reach = np.sqrt(budget)
                     lead = x[:, part][:, :CELL_DIMS]
                     width = CELL_WIDTH * reach
-                    low = np.floor((lead - reach) / width).astype(np.int64)
+                    low = np.floor(lead / width).astype(np.int64)
                     high = np.floor((lead + reach) / width).astype(np.int64)  # at most low + 1
                     for corner in range(1 << lead.shape[1]):
                         bits = (corner >> np.arange(lead.shape[1])) & 1
@@ -129,7 +129,7 @@ def _linker(cosine: float):
                 cells_ = cell.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1)
                 own = {k: v[rows] for k, v in col.items()}
                 found_a, found_b = [], []
-                for i, j in _pairs(np.repeat(np.arange(len(some)), sizes[some])):
+                for i, j in _block_pairs(np.cumsum(sizes[some]), own["block"], x, block_ranges(dims, cosine)):
                     near = _verify(i, j, own, u, x, cells_, dims, cosine)
                     found_a.append(i[near])
                     found_b.append(j[near])
@@ -148,19 +148,22 @@ def _linker(cosine: float):
     return run
 
 
-def _pairs(group: np.ndarray):
-    """Row pairs inside groups (sorted), in bounded portions: each row with the
-    later rows of its group."""
-    n = len(group)
-    end = np.searchsorted(group, group, "right")
-    count = end - np.arange(n) - 1
-    total, start = np.cumsum(count), 0
-    while start < n:
-        done = total[start - 1] if start else 0
-        stop = max(int(np.searchsorted(total, done + PAIRS_AT_ONCE, "right")), start + 1)
-        rows = np.arange(start, stop)
-        i = np.repeat(rows, count[start:stop])
-        yield i, ranges(rows + 1, count[start:stop])
+def _block_pairs(stops: np.ndarray, block: np.ndarray, x: np.ndarray, parts: list[tuple[slice, float]]):
+    """Row pairs of each group (its rows end at ``stops``) that are within
+    their block's budget, in bounded portions."""
+    start = 0
+    for stop in stops.tolist():
+        for b in np.unique(block[start:stop]).tolist():  # one, but for colliding keys
+            rows = start + np.flatnonzero(block[start:stop] == b)
+            part, budget = parts[b]
+            y = x[rows][:, part]
+            square = (y * y).sum(1)
+            for at in range(0, len(rows) - 1, ROWS_AT_ONCE):
+                end = min(at + ROWS_AT_ONCE, len(rows))
+                distance = square[at:end, None] + square[None, at:] - 2 * (y[at:end] @ y[at:].T)
+                i, j = np.nonzero(distance <= budget)
+                later = j > i
+                yield rows[at + i[later]], rows[at + j[later]]
         start = stop
 
 
@@ -179,7 +182,7 @@ def _verify(i, j, own, u, x, cell, dims, cosine):
     diff *= diff
     good = np.ones(len(at), bool)
     for b, (part, budget) in enumerate(parts):
-        inside = diff[:, part].sum(1) <= budget
+        inside = diff[:, part].sum(1) <= budget - SLACK / 2
         first[(first < 0) & inside] = b
         # the pair's cell: that of the larger of its two coordinates, which both reach
         here = block == b
