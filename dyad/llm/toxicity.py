@@ -11,7 +11,7 @@ with the largest chi-squared statistic over the training rows are used, so the
 normal equations stay small.  Scoring is one pass over all texts: a batch's
 distinct words are found with Arrow, and a document's score is a sparse sum.
 
-Null texts have no words and get the chain's base probabilities; equal texts
+Null texts and others without words have probability 0 in every category; equal texts
 get equal results.  A category without labels of both kinds has its constant.
 Repeated labels of a document count as one (the largest)."""
 
@@ -100,7 +100,7 @@ def fit_link(n: int, rows: np.ndarray, buckets: np.ndarray, earlier: np.ndarray,
         h = (x * (p * (1 - p))[:, None]).T @ x
         h[np.diag_indices_from(h)] += penalty
         step = np.linalg.solve(h, x.T @ (own - p) - penalty * w)
-        w += step * min(1, 5 / np.abs(step).max())
+        w += step * min(1, 5 / max(np.abs(step).max(), 1e-9))
         if np.abs(step).max() < 1e-6:
             break
     words[chosen] = w[:FEATURES]
@@ -148,6 +148,7 @@ def predict(docs: DataFrame, chain: Sequence[Link], names: Sequence[str]) -> Dat
             earlier = np.zeros((b - a, 0))
             for link in shared.value:
                 earlier = np.column_stack([earlier, sigmoid(link.logit(rows, buckets, earlier))])
+            earlier[np.bincount(rows, minlength=b - a) == 0] = 0
             out.append(earlier)
         return [pa.array(c) for c in np.concatenate(out).T.copy()]
 
