@@ -4,47 +4,82 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: default row bound for a dimension that may be broadcast
-DIM_BROADCAST_ROWS = 1_000_000
-#: byte bound for a broadcast side (Catalyst's size estimate)
+#: bound on the in-memory bytes of a broadcast side
 BROADCAST_BYTES = 64 * 1024 * 1024
 
 
 def estimated_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of the optimised plan (no job).  For scans it is
-    the file size scaled to the projected columns; filters, joins and
-    aggregates do not shrink it, so it errs on the large side."""
+    the compressed file size scaled to the projected columns: no upper bound
+    on the size in memory."""
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
     return int(size if isinstance(size, int) else size.toString())
 
 
+def _column_bytes(name: str, dtype: T.DataType) -> Column:
+    """In-memory bytes of a column's value: exact payload of strings, binaries
+    and arrays of fixed-width values, JSON length of other nested values."""
+    col = F.col(f"`{name}`")
+    if isinstance(dtype, (T.StringType, T.BinaryType)):
+        return F.lit(16) + F.coalesce(F.octet_length(col), F.lit(0))
+    if isinstance(dtype, T.ArrayType) and isinstance(dtype.elementType, (T.NumericType, T.BooleanType, T.DatetimeType)):
+        return F.lit(24) + F.lit(16) * F.greatest(F.coalesce(F.size(col), F.lit(0)), F.lit(0))
+    if isinstance(dtype, (T.ArrayType, T.MapType, T.StructType)):
+        return F.lit(24) + F.lit(2) * F.coalesce(F.length(F.to_json(F.struct(col))), F.lit(0))
+    return F.lit(16)
+
+
+def measured_bytes(df: DataFrame) -> int:
+    """In-memory size of ``df``, summed over its rows by one aggregate."""
+    row = reduce(lambda a, b: a + b, [_column_bytes(f.name, f.dataType).cast("long") for f in df.schema], F.lit(16).cast("long"))
+    return int(df.agg(F.sum(row)).first()[0] or 0)
+
+
+def broadcastable(df: DataFrame, max_bytes: int = BROADCAST_BYTES, known_rows: int | None = None) -> bool:
+    """Is ``df`` proven to be at most ``max_bytes`` in memory?
+
+    A known row count proves it when every column has a fixed width.  Otherwise
+    the rows are measured, unless Catalyst's estimate (compressed file size for
+    a scan, so it can only rule a side out) is over the bound already.
+    """
+    fixed = not any(isinstance(f.dataType, (T.StringType, T.BinaryType, T.ArrayType, T.MapType, T.StructType)) for f in df.schema)
+    if known_rows is not None and fixed:
+        return known_rows * 16 * (1 + len(df.columns)) <= max_bytes
+    return estimated_bytes(df) <= max_bytes and measured_bytes(df) <= max_bytes
+
+
 def join_small(
     big: DataFrame,
     small: DataFrame,
     on: Sequence[str] | str,
     how: str = "inner",
-    max_rows: int = DIM_BROADCAST_ROWS,
     known_rows: int | None = None,
     max_bytes: int = BROADCAST_BYTES,
+    null_safe: bool = False,
 ) -> DataFrame:
-    """Join ``big`` to ``small``, broadcasting ``small`` only behind a size check.
+    """Join ``big`` to ``small``, broadcasting ``small`` only if
+    :func:`broadcastable` proves its size.
 
-    The check is, in order: a known row count (``known_rows``), Catalyst's size
-    estimate (free), else an exact ``count()``.  Beyond the bound the join is
-    left to the planner: a shuffle join, which AQE may still turn into a
-    broadcast from runtime sizes or split for skewed keys.
+    Otherwise the join is left to the planner: a shuffle join, which AQE may
+    still turn into a broadcast from runtime sizes or split for skewed keys.
+    ``null_safe`` lets NULL keys match each other.
     """
-    keys = list(on) if not isinstance(on, str) else on
-    if known_rows is not None:
-        fits = known_rows <= max_rows
-    elif estimated_bytes(small) <= max_bytes:
-        fits = True
-    else:
-        fits = small.count() <= max_rows
-    return big.join(F.broadcast(small) if fits else small, on=keys, how=how)
+    keys = [on] if isinstance(on, str) else list(on)
+    side = F.broadcast(small) if broadcastable(small, max_bytes, known_rows) else small
+    return join_null_safe(big, side, keys, how) if null_safe else big.join(side, on=keys, how=how)
+
+
+def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join in which NULL keys match each other; key columns come from ``left``."""
+    named = right.select(*[F.col(f"`{c}`").alias(f"_right_{c}" if c in keys else c) for c in right.columns])
+    same = reduce(lambda a, b: a & b, [F.col(f"`{k}`").eqNullSafe(F.col(f"`_right_{k}`")) for k in keys])
+    return left.join(named, same, how).drop(*[f"_right_{k}" for k in keys])
 
 
 def duplicate_keys(df: DataFrame, keys: Sequence[str] | str) -> DataFrame:
@@ -74,7 +109,7 @@ def join_back(
     above ``hot_rows`` (at most ``len(rows) / hot_rows`` of them, so a bounded,
     broadcastable list) get their ``per_key`` row replicated over ``salts``
     salts, and their rows are spread over the salts by a hash of the row; other
-    keys join on salt 0.  No task sees more than ``max(hot_rows, hot/salts)``
+    keys join on salt 0.  NULL keys match each other.  No task sees more than ``max(hot_rows, hot/salts)``
     rows of one key.
     """
     keys = list(keys)
@@ -82,13 +117,12 @@ def join_back(
     n_hot = hot.count()
     payload = per_key.drop(count_col)
     if n_hot == 0:
-        return rows.join(payload, keys, how)
-    flagged = join_small(rows, hot.withColumn("_hot", F.lit(True)), keys, how="left", known_rows=n_hot,
-                         max_rows=100_000)
+        return join_null_safe(rows, payload, keys, how)
+    flags = hot.withColumn("_hot", F.lit(True))
+    flagged = join_small(rows, flags, keys, how="left", known_rows=n_hot, null_safe=True)
     row_salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*[F.col(c) for c in rows.columns]), F.lit(salts)))
     salted_rows = flagged.withColumn("_salt", F.coalesce(row_salt, F.lit(0)).cast("int")).drop("_hot")
-    salted_keys = payload.join(F.broadcast(hot.withColumn("_hot", F.lit(True))) if n_hot <= 100_000 else
-                               hot.withColumn("_hot", F.lit(True)), keys, "left").withColumn(
+    salted_keys = join_small(payload, flags, keys, how="left", known_rows=n_hot, null_safe=True).withColumn(
         "_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))
     ).drop("_hot")
-    return salted_rows.join(salted_keys, keys + ["_salt"], how).drop("_salt")
+    return join_null_safe(salted_rows, salted_keys, keys + ["_salt"], how).drop("_salt")

@@ -19,11 +19,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dyad.operators.joins import join_small
+from dyad.operators.order import dense_index
 from dyad.operators.profile import feature_stats
 
-#: a feature table is one row per feature; broadcast it below this many rows
-FEATURE_TABLE_ROWS = 1_000_000
-
 
 def to_long(df: DataFrame, id_col: str, vec_col: str, feature: str = "feature", value: str = "value") -> DataFrame:
     """M1: ``(id, array)`` -> long ``(id, feature index, value double)``."""
@@ -34,10 +32,19 @@ def to_long(df: DataFrame, id_col: str, vec_col: str, feature: str = "feature",
 
 def to_vectors(long_df: DataFrame, id_col: str, feature: str = "feature", value: str = "value",
                out: str = "features") -> DataFrame:
-    """M1 (back): long -> one ``array<double>`` per id, ordered by feature.
-    One group per entity holds that entity's features only (bounded by top-k)."""
-    pairs = F.array_sort(F.collect_list(F.struct(F.col(feature).alias("f"), F.col(value).alias("v"))))
-    return long_df.groupBy(id_col).agg(pairs.alias("_p")).select(id_col, F.transform("_p", lambda s: s["v"]).alias(out))
+    """M1 (back): long -> one ``array<double>`` per id, one place per feature of
+    the table in feature order; NULL where the entity has no row for a feature.
+    One group per entity holds that entity's features only (bounded by top-k);
+    an entity with two rows of a feature fails the job."""
+    places = dense_index(long_df.select(feature).distinct(), [feature], out="_place")
+    width = places.count()
+    placed = join_small(long_df, places, feature, null_safe=True)
+    pairs = F.array_sort(F.collect_list(F.struct(F.col("_place").alias("place"), F.col(value).alias("v"))))
+    every = F.sequence(F.lit(0).cast("long"), F.lit(width - 1).cast("long")) if width else F.array().cast("array<long>")
+    by_place = F.map_from_entries("_p")
+    vector = F.when(F.transform("_p", lambda s: s["place"]) == every, F.transform("_p", lambda s: s["v"])).otherwise(
+        F.transform(every, lambda i: F.try_element_at(by_place, i)))
+    return placed.groupBy(id_col).agg(pairs.alias("_p")).select(id_col, vector.alias(out))
 
 
 def keep_features(long_df: DataFrame, policy: str = "drop_all_null", feature: str = "feature",
@@ -51,13 +58,13 @@ def keep_features(long_df: DataFrame, policy: str = "drop_all_null", feature: st
         keep = stats.filter(F.col("_nn") == F.col("_n"))
     else:
         raise ValueError(f"unknown null policy {policy!r}")
-    return join_small(long_df, keep.select(feature), feature, how="left_semi", max_rows=FEATURE_TABLE_ROWS)
+    return join_small(long_df, keep.select(feature), feature, how="left_semi")
 
 
 def impute_mean(long_df: DataFrame, feature: str = "feature", value: str = "value") -> DataFrame:
     """M3: NULL -> the feature's mean over non-NULL values."""
     means = long_df.groupBy(feature).agg(F.avg(value).alias("_mean"))
-    out = join_small(long_df, means, feature, how="inner", max_rows=FEATURE_TABLE_ROWS)
+    out = join_small(long_df, means, feature, how="inner")
     return out.withColumn(value, F.coalesce(F.col(value), F.col("_mean"))).drop("_mean")
 
 
@@ -70,14 +77,14 @@ def top_variance(long_df: DataFrame, k: int, feature: str = "feature", value: st
 
 
 def select_features(long_df: DataFrame, chosen: DataFrame, feature: str = "feature") -> DataFrame:
-    return join_small(long_df, chosen.select(feature), feature, how="left_semi", max_rows=FEATURE_TABLE_ROWS)
+    return join_small(long_df, chosen.select(feature), feature, how="left_semi")
 
 
 def zscore(long_df: DataFrame, feature: str = "feature", value: str = "value") -> DataFrame:
     """M5: ``(x - mean) / sd_pop`` per feature; a zero sd counts as 1 (as
     ``StandardScaler``)."""
     stats = long_df.groupBy(feature).agg(F.avg(value).alias("_mu"), F.stddev_pop(value).alias("_sd"))
-    out = join_small(long_df, stats, feature, how="inner", max_rows=FEATURE_TABLE_ROWS)
+    out = join_small(long_df, stats, feature, how="inner")
     sd = F.when(F.col("_sd") == 0, F.lit(1.0)).otherwise(F.col("_sd"))
     return out.withColumn(value, (F.col(value) - F.col("_mu")) / sd).drop("_mu", "_sd")
 

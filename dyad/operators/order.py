@@ -21,13 +21,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dyad.operators.joins import HOT_KEY_ROWS, estimated_bytes, join_back, join_small
+from dyad.operators.joins import HOT_KEY_ROWS, estimated_bytes, join_back, join_null_safe, join_small
 from dyad.session import cut_lineage
 
 #: groups above this many rows take the distributed path in :func:`group_quantiles`
 HOT_GROUP_ROWS = 2_000_000
 #: target (estimated) bytes per range bucket in :func:`prefix_agg`
 BUCKET_BYTES = 64 * 1024 * 1024
+#: most range buckets: their summaries of an ungrouped ordering are folded on the driver
+MAX_BUCKETS = 100_000
 
 
 def _names(cols: Sequence[str] | str | None) -> list[str]:
@@ -54,18 +56,14 @@ def prefix_agg(
 
     Strictly-before rows only unless ``inclusive``.  ``total`` adds the group's
     total.  ``buckets`` defaults to one per :data:`BUCKET_BYTES` of Catalyst's
-    size estimate, at least the default parallelism and at most
-    ``spark.sql.shuffle.partitions``.
+    size estimate, at least the default parallelism (or the shuffle partitions,
+    if fewer) and at most :data:`MAX_BUCKETS`.  A NULL in ``by`` is a group.
     """
     order, by = _names(order), _names(by)
     spark = df.sparkSession
     if buckets is None:
-        # one bucket per BUCKET_BYTES of (over-)estimated input, at least the
-        # cluster's parallelism, at most the shuffle partition count
-        est = estimated_bytes(df)
-        cap = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        floor = min(cap, spark.sparkContext.defaultParallelism)
-        buckets = max(1, floor, min(cap, -(-est // BUCKET_BYTES)))
+        floor = min(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+        buckets = max(1, floor, min(MAX_BUCKETS, -(-estimated_bytes(df) // BUCKET_BYTES)))
     n_buckets = buckets
     fn = {"sum": F.sum, "min": F.min, "max": F.max}[how]
     w = F.col(value) if value else F.lit(1)
@@ -109,8 +107,8 @@ def prefix_agg(
         if total:
             offsets = offsets.withColumn(total, fn("_bt").over(Window.partitionBy(*by)))
             keep.append(total)
-        # offsets has at most (buckets + groups) rows; broadcast only when that is small.
-        res = join_small(local, offsets.select(*keep), by + ["_bucket"], how="inner", max_rows=200_000)
+        # both sides are hashed by (by, _bucket) already, so the join adds no shuffle
+        res = join_null_safe(local, offsets.select(*keep), by + ["_bucket"])
     if how == "sum":
         combined = F.coalesce(F.col("_off"), F.lit(0)) + F.coalesce(F.col("_in"), F.lit(0))
     else:
@@ -177,8 +175,12 @@ def average_ranks_many(
     return out
 
 
-def _interp(lo: Column, hi: Column, frac: Column) -> Column:
-    return lo + frac * (hi - lo)
+def _interp(lo: Column, hi: Column, above: Column, below: Column) -> Column:
+    """Weights as in Spark's ``percentile``, so that both paths of
+    :func:`group_quantiles` give the same bits: ``above`` is the distance to the
+    upper position, ``below`` that to the lower one."""
+    lo, hi = lo.cast("double"), hi.cast("double")
+    return F.when(lo == hi, lo).otherwise(above * lo + below * hi)
 
 
 def distributed_quantiles(
@@ -203,8 +205,8 @@ def distributed_quantiles(
         in_hi = (lt <= hi) & (hi < lt + c)
         hits += [in_lo, in_hi]
         aggs += [F.max(F.when(in_lo, F.col(value))).alias(f"_lo{i}"), F.max(F.when(in_hi, F.col(value))).alias(f"_hi{i}"),
-                 F.max(h - lo).alias(f"_fr{i}")]
-        finals.append(_interp(F.col(f"_lo{i}"), F.col(f"_hi{i}"), F.col(f"_fr{i}")).alias(names[i]))
+                 F.max(hi - h).alias(f"_ab{i}"), F.max(h - lo).alias(f"_be{i}")]
+        finals.append(_interp(F.col(f"_lo{i}"), F.col(f"_hi{i}"), F.col(f"_ab{i}"), F.col(f"_be{i}")).alias(names[i]))
     any_hit = hits[0]
     for cond in hits[1:]:
         any_hit = any_hit | cond
@@ -248,13 +250,16 @@ def group_quantiles(
     Ordinary groups use Spark's ``percentile`` aggregate (one task per group,
     fine for groups of bounded size).  Groups with more than ``hot_rows`` rows
     are split off and computed with :func:`distributed_quantiles`, so no single
-    task ever holds a hot group's values.  ``count_col`` adds ``count(*)``.
+    task ever holds a hot group's values.  Both paths give the same bits; a group
+    without values (or with NULL keys) stays.  ``count_col`` adds ``count(*)``.
     """
     keys = list(keys)
     names = list(names or [f"q{i}" for i in range(len(probs))])
     plist = [float(p) for p in probs]
-    hot = hot_keys(df, keys, hot_rows)
+    # written once: the sample need not repeat, and a group must take exactly one path
+    hot = cut_lineage(hot_keys(df, keys, hot_rows))
     n_hot = hot.count()
+
     def cold_agg(frame: DataFrame) -> DataFrame:
         aggs = [F.percentile(F.col(value), F.lit(p)).alias(nm) for p, nm in zip(plist, names)]
         if count_col:
@@ -263,13 +268,11 @@ def group_quantiles(
 
     if n_hot == 0:
         return cold_agg(df)
-    cold = cold_agg(join_small(df, hot, keys, how="left_anti", max_rows=100_000, known_rows=n_hot))
-    hot_rows_df = join_small(df, hot, keys, how="left_semi", max_rows=100_000, known_rows=n_hot)
-    hot_part = distributed_quantiles(hot_rows_df, value, plist, keys, names)
-    if count_col:
-        counts = hot_rows_df.groupBy(*keys).agg(F.count(F.lit(1)).alias(count_col))
-        hot_part = hot_part.join(counts, keys, "inner")
-    return cold.unionByName(hot_part)
+    cold = cold_agg(join_small(df, hot, keys, how="left_anti", known_rows=n_hot, null_safe=True))
+    hot_rows_df = join_small(df, hot, keys, how="left_semi", known_rows=n_hot, null_safe=True)
+    groups = hot_rows_df.groupBy(*keys).agg(F.count(F.lit(1)).alias(count_col or "_rows"))
+    hot_part = join_null_safe(groups, distributed_quantiles(hot_rows_df, value, plist, keys, names), keys, "left")
+    return cold.unionByName(hot_part.select(*cold.columns))
 
 
 def dense_index(

@@ -15,10 +15,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dyad.operators.joins import join_small
+from dyad.operators.joins import join_null_safe, join_small
 from dyad.operators.order import dense_index
 
 SPLIT_GROUPS = ("drug_id", "cell_id")
+#: slots made by one row of the slot table in :func:`balanced_group_kfold`
+SLOT_RUN = 65_536
 
 
 def order_key(cols: Sequence[str] | str, seed: int) -> Column:
@@ -39,23 +41,24 @@ def group_split(
 ) -> DataFrame:
     """Two-stage group split (K1): ``ceil(test*G)`` groups to test, then
     ``ceil(val/(1-test) * rest)`` of the remaining groups to val (second stage
-    uses ``seed + 1``), the rest to train.  Sizes are fractions of groups (Q11)."""
+    uses ``seed + 1``), the rest to train.  Sizes are fractions of groups (Q11).
+    Rows without a group (NULL) are one group, so that every row gets a split."""
     if group not in SPLIT_GROUPS:
-        raise ValueError("--group_by must be 'drug_id' or 'cell_id'")
-    groups = df.select(group).filter(F.col(group).isNotNull()).distinct()
+        raise ValueError(f"cannot split by {group!r}: expected one of {SPLIT_GROUPS}")
+    groups = df.select(group).distinct()
     g1 = dense_index(groups.withColumn("_k", order_key(group, seed)), ["_k", group], out="_r1")
     n_groups = g1.count()
     n_test = frac_count(test, n_groups)
     n_val = frac_count(val / (1.0 - test), n_groups - n_test)
     rest = g1.filter(F.col("_r1") >= n_test).select(group).withColumn("_k", order_key(group, seed + 1))
     g2 = dense_index(rest, ["_k", group], out="_r2").select(group, "_r2")
-    assign = g1.join(g2, group, "left").select(
+    assign = join_null_safe(g1, g2, [group], "left").select(
         group,
         F.when(F.col("_r1") < n_test, F.lit("test")).when(F.col("_r2") < n_val, F.lit("val"))
         .otherwise(F.lit("train")).alias(out),
     )
     # One row per group; broadcast only when the group count allows it.
-    return join_small(df, assign, group, how="inner", known_rows=n_groups)
+    return join_small(df, assign, group, how="inner", known_rows=n_groups, null_safe=True)
 
 
 def _water_fill(loads: list[int], size: int, m: int) -> list[int]:
@@ -88,12 +91,13 @@ def balanced_group_kfold(df: DataFrame, group: str, k: int = 5, out: str = "fold
 
     The greedy is exact but not run group by group: groups of equal size form a
     level, and within a level the i-th group (by key) takes the i-th smallest
-    slot ``(load_j + t*size, j)``.  The driver only walks the size histogram
-    (one row per distinct group size) to get each level's starting loads; slots
-    and group ranks are generated and matched as distributed joins.
+    slot ``(load_j + t*size, j)``.  The driver only walks the size histogram to
+    get each level's starting loads: one row per distinct group size, at most
+    sqrt(2 * rows) of them.  Slots and group ranks are generated (in runs of
+    :data:`SLOT_RUN`) and matched as distributed joins.  NULL is a group.
     """
     spark = df.sparkSession
-    sizes = df.filter(F.col(group).isNotNull()).groupBy(group).agg(F.count(F.lit(1)).alias("_size"))
+    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("_size"))
     hist = sizes.groupBy("_size").agg(F.count(F.lit(1)).alias("_m")).orderBy(F.desc("_size")).collect()
     loads = [0] * k
     levels = []
@@ -105,13 +109,15 @@ def balanced_group_kfold(df: DataFrame, group: str, k: int = 5, out: str = "fold
     schema = T.StructType([T.StructField("_size", T.LongType()), T.StructField(out, T.IntegerType()),
                            T.StructField("_load", T.LongType()), T.StructField("_take", T.LongType())])
     level_df = spark.createDataFrame(levels, schema)
-    slots = level_df.select(
-        "_size", out, F.explode(F.sequence(F.lit(0).cast("long"), F.col("_take") - 1)).alias("_t"), "_load"
+    last_run = F.floor((F.col("_take") - 1) / SLOT_RUN)
+    runs = level_df.withColumn("_run", F.explode(F.sequence(F.lit(0).cast("long"), last_run))).repartition("_size", out, "_run")
+    slots = runs.select("_size", out, F.explode(F.sequence(
+        F.col("_run") * SLOT_RUN, F.least(F.col("_take"), (F.col("_run") + 1) * SLOT_RUN) - 1)).alias("_t"), "_load",
     ).withColumn("_slot_key", F.col("_load") + F.col("_t") * F.col("_size"))
     slots = dense_index(slots, ["_slot_key", out], out="_i", by="_size").select("_size", "_i", out)
     ranked = dense_index(sizes, [group], out="_i", by="_size")
     assign = ranked.join(slots, ["_size", "_i"], "inner").select(group, out)
-    return join_small(df, assign, group, how="inner")
+    return join_small(df, assign, group, how="inner", null_safe=True)
 
 
 def plain_kfold(df: DataFrame, keys: Sequence[str], k: int = 5, seed: int = 42, out: str = "fold") -> DataFrame:

@@ -28,3 +28,12 @@ def test_null_policies_and_impute(spark):
     assert [r[0] for r in keep_features(df, "drop_any").select("feature").distinct().collect()] == [2]
     imp = {(r["cell_id"], r["feature"]): r["value"] for r in impute_mean(keep_features(df)).collect()}
     assert imp[("b", 1)] == 1.0 and imp[("b", 2)] == 4.0
+
+
+def test_vectors_keep_the_place_of_missing_features(spark):
+    from dyad.operators.matrix import to_vectors
+
+    long_df = spark.createDataFrame([("x", 0, 1.0), ("x", 2, 3.0), ("y", 0, 4.0), ("y", 1, 5.0), ("y", 2, 6.0)],
+                                    "id string, feature int, value double")
+    got = {r["id"]: list(r["features"]) for r in to_vectors(long_df, "id").collect()}
+    assert got == {"x": [1.0, None, 3.0], "y": [4.0, 5.0, 6.0]}

@@ -26,3 +26,15 @@ def test_population_sd_in_zscore_and_summary(spark):
     m = spark.createDataFrame([(1.0,), (2.0,), (3.0,), (4.0,)], "rmse double")
     s = fold_summary(m, ["rmse"]).first()
     assert np.isclose(s["rmse_sd"], 1.118033988749895)
+
+
+def test_every_metric_uses_complete_pairs_only(spark):
+    from dyad.operators.evaluate import evaluate
+
+    rows = [("a", 1.0, 2.0), ("a", 2.0, 1.0), ("a", 3.0, 5.0), ("a", 9.0, None), ("b", 1.0, None), (None, 1.0, 1.0), (None, 2.0, 2.0)]
+    df = spark.createDataFrame(rows, "g string, y double, p double")
+    every = {r["g"]: r for r in evaluate(df, "y", "p", "g", ("rmse", "mae", "spearman", "pearson", "n")).collect()}
+    some = {r["g"]: r for r in evaluate(df, "y", "p", "g", ("rmse", "n")).collect()}
+    assert {g: r["n"] for g, r in every.items()} == {"a": 3, "b": 0, None: 2}
+    assert {g: (r["n"], r["rmse"]) for g, r in every.items()} == {g: (r["n"], r["rmse"]) for g, r in some.items()}
+    assert abs(every["a"]["spearman"] - 0.5) < 1e-9 and abs(every[None]["spearman"] - 1) < 1e-9 and every["b"]["spearman"] is None

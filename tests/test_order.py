@@ -68,3 +68,11 @@ def test_grouped_prefix_sums_across_buckets(spark):
         for i in range(40 if g == "a" else 7):
             assert got[(g, i)] == acc
             acc += float(i % 5)
+
+
+def test_hot_group_without_values_and_null_key_stay(spark):
+    rows = [("null", None)] * 60 + [(None, float(i)) for i in range(61)] + [("c", 1.0), ("c", 4.0)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    cold = {tuple(r) for r in group_quantiles(df, ["k"], "v", [0.37], count_col="n").collect()}
+    hot = {tuple(r) for r in group_quantiles(df, ["k"], "v", [0.37], count_col="n", hot_rows=10).collect()}
+    assert cold == hot and ("null", None, 60) in hot and len(hot) == 3

@@ -27,3 +27,15 @@ def test_upsert(spark):
     old = spark.createDataFrame([("k1", 1), ("k2", 2)], "name_key string, v int")
     new = spark.createDataFrame([("k2", 20), ("k3", 30)], "name_key string, v int")
     assert sorted(upsert_cache(old, new).collect()) == sorted([("k1", 1), ("k2", 20), ("k3", 30)])
+
+
+def test_small_file_of_wide_rows_is_not_broadcast(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from dyad.operators.joins import BROADCAST_BYTES, broadcastable, estimated_bytes
+
+    path = str(tmp_path / "wide")
+    spark.range(20_000).select("id", F.array_repeat(F.lit(1.5), 600).alias("v")).write.parquet(path)
+    wide = spark.read.parquet(path)
+    assert estimated_bytes(wide) < BROADCAST_BYTES and not broadcastable(wide) and not broadcastable(wide, known_rows=20_000)
+    assert broadcastable(wide.select("id"))

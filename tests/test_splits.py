@@ -67,3 +67,13 @@ def test_subsample_exact_n(spark):
     df = spark.range(500).selectExpr("id as k")
     assert subsample(df, 123, ["k"]).count() == 123
     assert subsample(df, 900, ["k"]).count() == 500
+
+
+def test_rows_without_a_group_keep_their_place(spark):
+    from dyad.operators.splits import balanced_group_kfold, group_split
+
+    df = spark.createDataFrame([(None if i % 5 == 0 else i % 7, i) for i in range(100)], "drug_id long, i long")
+    for out in (group_split(df), balanced_group_kfold(df, "drug_id", 3)):
+        name = out.columns[-1]
+        rows = out.collect()
+        assert len(rows) == 100 and len({r[name] for r in rows if r["drug_id"] is None}) == 1
