@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Catalyst's size of a leaf that it knows nothing about is above this
+UNKNOWN_BYTES = 1 << 60
 #: bound on the in-memory bytes of a broadcast side
 BROADCAST_BYTES = 64 * 1024 * 1024
 
@@ -22,6 +24,14 @@ def estimated_bytes(df: DataFrame) -> int:
     return int(size if isinstance(size, int) else size.toString())
 
 
+def input_bytes(df: DataFrame) -> int | None:
+    """Sum of Catalyst's sizes of the plan's leaves, None if one is unknown (no
+    job).  Unlike :func:`estimated_bytes` it is not multiplied up by joins."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return None if any(s >= UNKNOWN_BYTES for s in sizes) else sum(sizes)
+
+
 def _column_bytes(name: str, dtype: T.DataType) -> Column:
     """In-memory bytes of a column's value: exact payload of strings, binaries
     and arrays of fixed-width values, JSON length of other nested values."""

@@ -21,12 +21,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dyad.operators.joins import HOT_KEY_ROWS, estimated_bytes, join_back, join_null_safe, join_small
+from dyad.operators.joins import HOT_KEY_ROWS, input_bytes, join_back, join_null_safe, join_small
 from dyad.session import cut_lineage
 
 #: groups above this many rows take the distributed path in :func:`group_quantiles`
 HOT_GROUP_ROWS = 2_000_000
-#: target (estimated) bytes per range bucket in :func:`prefix_agg`
+#: target input bytes per range bucket in :func:`prefix_agg`
 BUCKET_BYTES = 64 * 1024 * 1024
 #: most range buckets: their summaries of an ungrouped ordering are folded on the driver
 MAX_BUCKETS = 100_000
@@ -55,15 +55,16 @@ def prefix_agg(
     ``value=None``) in ``order`` within ``by`` groups, without a window over a group.
 
     Strictly-before rows only unless ``inclusive``.  ``total`` adds the group's
-    total.  ``buckets`` defaults to one per :data:`BUCKET_BYTES` of Catalyst's
-    size estimate, at least the default parallelism (or the shuffle partitions,
-    if fewer) and at most :data:`MAX_BUCKETS`.  A NULL in ``by`` is a group.
+    total.  ``buckets`` defaults to one per :data:`BUCKET_BYTES` of input, at
+    least the default parallelism (or the shuffle partitions, if fewer) and at
+    most :data:`MAX_BUCKETS`; the shuffle partitions if the size is unknown.  A NULL in ``by`` is a group.
     """
     order, by = _names(order), _names(by)
     spark = df.sparkSession
     if buckets is None:
-        floor = min(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-        buckets = max(1, floor, min(MAX_BUCKETS, -(-estimated_bytes(df) // BUCKET_BYTES)))
+        partitions, size = int(spark.conf.get("spark.sql.shuffle.partitions")), input_bytes(df)
+        floor = min(partitions, spark.sparkContext.defaultParallelism)
+        buckets = partitions if size is None else max(1, floor, min(MAX_BUCKETS, -(-size // BUCKET_BYTES)))
     n_buckets = buckets
     fn = {"sum": F.sum, "min": F.min, "max": F.max}[how]
     w = F.col(value) if value else F.lit(1)
