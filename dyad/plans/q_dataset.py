@@ -182,11 +182,11 @@ def q_left_join_dims(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-SCORES_SQL = """scores AS (SELECT vec_id cell_id, embedding[1] pc1, embedding[2] pc2 FROM embeddings WHERE label <> 3)"""
+SCORES_SQL = """scores AS (SELECT vec_id cell_id, embedding[1] pc1, embedding[2] pc2 FROM embeddings)"""
 
 
 def scores_df(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = fx.table(spark, sf_dir, "embeddings").filter(F.col("label") != 3)
+    e = fx.table(spark, sf_dir, "embeddings")
     return e.select(F.col("vec_id").alias("cell_id"), F.element_at("embedding", 1).alias("pc1"),
                     F.element_at("embedding", 2).alias("pc2"))
 

@@ -143,7 +143,7 @@ def q_sample_space(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ------------------------------------------------------------------ MLlib (rows-only checks)
 def training_frame(spark: SparkSession, sf_dir: str, with_folds: bool = False) -> DataFrame:
     """Pairs with split (and group folds) and an assembled feature vector
-    ``[cell vector (8), drug descriptors (2), tissue one-hot]``."""
+    ``[cell vector, drug descriptors (2), tissue one-hot]``."""
     from dyad.operators.matrix import assemble, fit_onehot, onehot
     from dyad.operators.splits import balanced_group_kfold
     from dyad.plans.q_eval import split_df
@@ -152,7 +152,7 @@ def training_frame(spark: SparkSession, sf_dir: str, with_folds: bool = False) -
     if with_folds:
         sp = balanced_group_kfold(sp, "drug_id", 5)
     cellv = fx.table(spark, sf_dir, "embeddings").select(
-        F.col("vec_id").alias("cell_id"), F.slice(F.col("embedding").cast("array<double>"), 1, 8).alias("cell_vec"))
+        F.col("vec_id").alias("cell_id"), F.col("embedding").cast("array<double>").alias("cell_vec"))
     drugd = fx.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("drug_id"), "p_size", "p_retailprice")
     df = sp.join(cellv, "cell_id").join(drugd, "drug_id")
     df = onehot(df, "tissue", fit_onehot(df, "tissue"))

@@ -189,7 +189,8 @@ def store_df(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(
     "lookup_guard",
     f"""WITH {PAIRS_SQL}, {STORE_SQL}
-SELECT DISTINCT pairs.drug_id, round(embedding[1], 6) e0, len(embedding) dim FROM pairs JOIN store USING (drug_id)""",
+SELECT DISTINCT pairs.drug_id, round(list_sum([abs(x::DOUBLE) FOR x IN embedding]), 6) norm1, len(embedding) dim
+  FROM pairs JOIN store USING (drug_id)""",
 )
 def q_lookup_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Id -> vector lookup that fails when an id has no vector."""
@@ -197,4 +198,5 @@ def q_lookup_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     drugs = pairs_df(spark, sf_dir).select("drug_id").distinct()
     out = lookup_strict(drugs, store_df(spark, sf_dir), "drug_id", what="drug id")
-    return out.select("drug_id", r6(F.element_at("embedding", 1)).alias("e0"), F.size("embedding").cast("bigint").alias("dim"))
+    norm1 = F.aggregate("embedding", F.lit(0.0), lambda total, x: total + F.abs(x.cast("double")))
+    return out.select("drug_id", r6(norm1).alias("norm1"), F.size("embedding").cast("bigint").alias("dim"))
