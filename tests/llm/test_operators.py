@@ -360,6 +360,28 @@ def test_exact_repeats_are_complete(spark, sf_dir):
     assert repeated <= {r.doc_id for r in chaining.shared_passages(d).collect()}
 
 
+def covered(spans, doc_id):
+    return {i for r in spans if r.doc_id == doc_id for i in range(r.start, r.stop)}
+
+
+def test_passage_is_found_when_an_earlier_document_quotes_part_of_it(spark):
+    rows = []
+    for k in range(8):
+        p = words(55, 1000 + k)
+        texts = [p[:49] + words(60, 1100 + k), words(60, 1200 + k) + p, p + words(60, 1300 + k), words(20, 1400 + k) + p]
+        rows += [(10 * k + i, " ".join(t)) for i, t in enumerate(texts)]
+    got = chaining.shared_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    for k in range(8):
+        assert covered(got, 10 * k + 2) >= set(range(55)) and covered(got, 10 * k + 3) >= set(range(20, 75))
+
+
+def test_stretches_hold_every_equal_run():
+    a = np.arange(200)
+    b = np.where((a >= 60) & (a < 115) | (a % 3 == 0), a, -1)
+    (s, e, t, f, equal, identity), = chaining.stretches(a, b, 0, 0, 200)
+    assert s <= 60 and e >= 115 and (t, f) == (s, e) and identity >= 0.8 and equal == (a[s:e] == b[s:e]).sum()
+
+
 def test_gap_columns():
     a, b = np.array([1, 2, 3, 4]), np.array([1, 9, 3])
     assert chaining.gap_columns(a, b) == (4, 2) and chaining.gap_columns(a, a[:0]) == (4, 0) and chaining.gap_columns(a, a) == (4, 4)
