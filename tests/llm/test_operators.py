@@ -375,6 +375,13 @@ def test_passage_is_found_when_an_earlier_document_quotes_part_of_it(spark):
         assert covered(got, 10 * k + 2) >= set(range(55)) and covered(got, 10 * k + 3) >= set(range(20, 75))
 
 
+def test_passages_in_another_order_are_found(spark):
+    a, b, c = words(200, 70), words(150, 71), words(200, 72)
+    rows = [(1, " ".join(a + c + b)), (2, " ".join(a + b + c))]
+    got = chaining.shared_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert covered(got, 2) == set(range(550)) and len(got) == 3
+
+
 def test_stretches_hold_every_equal_run():
     a = np.arange(200)
     b = np.where((a >= 60) & (a < 115) | (a % 3 == 0), a, -1)
