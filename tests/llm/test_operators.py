@@ -382,6 +382,21 @@ def test_passages_in_another_order_are_found(spark):
     assert covered(got, 2) == set(range(550)) and len(got) == 3
 
 
+def planted_recall(spark, n_words, every, n=40):
+    rows, r = [], random.Random(every)
+    for k in range(n):
+        p = words(n_words, 2000 + k)
+        shift = r.randrange(every)
+        q = [f"new{k}x{i}" if (i + shift) % every == 0 else w for i, w in enumerate(p)]
+        rows += [(2 * k, " ".join(words(80, 3000 + k) + p + words(70, 4000 + k))), (2 * k + 1, " ".join(words(75, 5000 + k) + q + words(65, 6000 + k)))]
+    got = chaining.shared_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    return len({r.doc_id for r in got if r.other_id == r.doc_id - 1 and r.doc_id % 2}) / n
+
+
+def test_fuzzy_passages_of_sixty_words_are_found(spark):
+    assert planted_recall(spark, 60, 10) == 1.0 and planted_recall(spark, 60, 8) == 1.0
+
+
 def test_stretches_hold_every_equal_run():
     a = np.arange(200)
     b = np.where((a >= 60) & (a < 115) | (a % 3 == 0), a, -1)
