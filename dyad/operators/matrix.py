@@ -2,15 +2,16 @@
 
 Cleaning runs in long form ``(id, feature, value)``: every statistic is a
 per-feature aggregate (partial + final), joined back through a one-row-per-
-feature table.  The model-side steps (covariance, PCA) use MLlib on one vector
-column per entity, which aggregates outer products with ``treeAggregate``
-instead of emitting feature pairs as rows.
+feature table.  PCA uses MLlib on one vector column per entity, covariance
+multiplies blocks of features; neither emits an entity's feature pairs as rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import PCA, OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Correlation, Summarizer
@@ -21,6 +22,11 @@ from pyspark.sql import types as T
 from dyad.operators.joins import join_small
 from dyad.operators.order import dense_index
 from dyad.operators.profile import feature_stats
+from dyad.session import cut_lineage
+
+#: features and entities of the blocks that one task of :func:`covariance_rows` multiplies
+FEATURE_BLOCK = 256
+ENTITY_CHUNK = 4096
 
 
 def to_long(df: DataFrame, id_col: str, vec_col: str, feature: str = "feature", value: str = "value") -> DataFrame:
@@ -114,6 +120,60 @@ def covariance(vectors: DataFrame, col: str = "features") -> tuple[list[list[flo
     return cov, n
 
 
+def covariance_rows(long_df: DataFrame, id_col: str, feature: str = "feature", value: str = "value") -> DataFrame:
+    """M6 as a table ``f1, f2, cov``: population covariance of every two features
+    over the entities that have a value of both (no row for two that share none).
+    Rows meet as in a self-join on the id: null ids never, and an entity's
+    several values of a feature each with all its values of the other.
+
+    Features are cut into blocks; a task multiplies two blocks of some
+    ``ENTITY_CHUNK`` entities, and chunks are merged by an aggregate.  Neither
+    the matrix nor a table of entities by pairs is held anywhere."""
+    places = cut_lineage(dense_index(long_df.select(feature).distinct(), [feature], out="_place"))
+    n_blocks = -(-places.count() // FEATURE_BLOCK)
+    chunks = max(1, -(-long_df.select(id_col).distinct().count() // ENTITY_CHUNK))
+    placed = join_small(long_df, places, feature, null_safe=True).filter(F.col(value).isNotNull() & F.col(id_col).isNotNull()).select(
+        F.xxhash64(id_col).alias("_h"), F.col(id_col).alias("_id"), F.floor(F.col("_place") / FEATURE_BLOCK).cast("int").alias("_b"),
+        (F.col("_place") % FEATURE_BLOCK).cast("int").alias("_at"), F.col(value).cast("double").alias("_v"))
+    rows = placed.groupBy("_h", "_id", "_b").agg(F.collect_list(F.struct("_at", "_v")).alias("_l"))
+    other = F.explode(F.sequence(F.lit(0), F.lit(max(n_blocks - 1, 0)))).alias("_o")
+    cells = rows.select("*", other).select(
+        F.least("_b", "_o").alias("_i"), F.greatest("_b", "_o").alias("_j"), F.pmod("_h", F.lit(chunks)).alias("_c"),
+        (F.col("_b") > F.col("_o")).alias("_side"), "_id", F.col("_l._at").alias("_at"), F.col("_l._v").alias("_v"))
+
+    def multiply(t: pa.Table) -> pa.Table:
+        i, j = t.column("_i")[0].as_py(), t.column("_j")[0].as_py()
+        entity = t.column("_id").combine_chunks().dictionary_encode()
+        entity = entity if isinstance(entity, pa.DictionaryArray) else entity.combine_chunks()
+        code, side = entity.indices.to_numpy(), t.column("_side").to_numpy()
+        at, v = t.column("_at").combine_chunks(), t.column("_v").combine_chunks()
+        row = np.repeat(np.arange(len(code)), at.value_lengths().to_numpy())
+        places, v = (side[row].astype(int), code[row], at.flatten().to_numpy()), v.flatten().to_numpy()
+        has, block = np.zeros((2, 2, len(entity.dictionary), FEATURE_BLOCK))
+        np.add.at(has, places, 1.0)
+        np.add.at(block, places, v)
+        mid = block.sum(1) / np.maximum(has.sum(1), 1)
+        block = np.zeros(block.shape)
+        np.add.at(block, places, v - mid[places[0], places[2]])
+        one = 0 if i == j else 1
+        a, b, has_a, has_b, mid_a, mid_b = block[0], block[one], has[0], has[one], mid[0], mid[one]
+        n = has_a.T @ has_b
+        u, w = np.nonzero(n)
+        n, sa, sb, ab = (m[u, w] for m in (n, a.T @ has_b, has_a.T @ b, a.T @ b))
+        out = [u + i * FEATURE_BLOCK, w + j * FEATURE_BLOCK, n, mid_a[u] + sa / n, mid_b[w] + sb / n, ab - sa * sb / n]
+        if i != j:
+            out = [np.concatenate([p, q]) for p, q in zip(out, [out[1], out[0], out[2], out[4], out[3], out[5]])]
+        return pa.table(out, names=["_p1", "_p2", "n", "ma", "mb", "c"])
+
+    parts = cells.groupBy("_i", "_j", "_c").applyInArrow(multiply, "_p1 long, _p2 long, n double, ma double, mb double, c double")
+    n, sa, sb = F.sum("n"), F.sum(F.col("n") * F.col("ma")), F.sum(F.col("n") * F.col("mb"))
+    cov = (F.sum("c") + F.sum(F.col("n") * F.col("ma") * F.col("mb")) - sa * sb / n) / n
+    merged = parts.groupBy("_p1", "_p2").agg(cov.alias("cov"))
+    for p, f in (("_p1", "f1"), ("_p2", "f2")):
+        merged = join_small(merged, places.select(F.col("_place").alias(p), F.col(feature).alias(f)), p)
+    return merged.select("f1", "f2", "cov")
+
+
 def pca_scores(vectors: DataFrame, k: int, id_col: str, col: str = "features", out: str = "pcs") -> DataFrame:
     """M7: principal-component scores of centred vectors, ``k = min(k, p, n)``.
 

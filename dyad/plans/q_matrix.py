@@ -102,15 +102,12 @@ def q_zscore(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT a.feature f1, b.feature f2, round(covar_pop(a.z, b.z), 6) cov FROM z a JOIN z b USING (cell_id)
  GROUP BY a.feature, b.feature""")
 def q_covariance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """M6: population covariance of the selected, z-scored features (MLlib
-    Gramian; feature pairs are never materialised as rows)."""
-    from dyad.operators.matrix import covariance, to_vectors
-
-    z = z_df(spark, sf_dir)
-    feats = sorted(r[0] for r in z.select("feature").distinct().collect())
-    cov, _ = covariance(to_vectors(z, "cell_id"))
-    rows = [(int(feats[i]), int(feats[j]), round(float(cov[i][j]), 6)) for i in range(len(feats)) for j in range(len(feats))]
-    return spark.createDataFrame(rows, "f1 bigint, f2 bigint, cov double")
+    """M6: population covariance of the selected, z-scored features, by blocks
+    of features; feature pairs of an entity are never materialised as rows."""
+    from dyad.operators.matrix import covariance_rows
+
+    cov = covariance_rows(z_df(spark, sf_dir), "cell_id")
+    return cov.select("f1", "f2", (F.round("cov", 6) + F.lit(0.0)).alias("cov"))
 
 
 @register("onehot", f"""WITH {PAIRS_SQL}

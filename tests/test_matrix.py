@@ -37,3 +37,37 @@ def test_vectors_keep_the_place_of_missing_features(spark):
                                     "id string, feature int, value double")
     got = {r["id"]: list(r["features"]) for r in to_vectors(long_df, "id").collect()}
     assert got == {"x": [1.0, None, 3.0], "y": [4.0, 5.0, 6.0]}
+
+
+def test_covariance_rows_of_blocks_and_chunks(spark, monkeypatch):
+    from dyad.operators import matrix
+
+    monkeypatch.setattr(matrix, "FEATURE_BLOCK", 4)
+    monkeypatch.setattr(matrix, "ENTITY_CHUNK", 7)
+    X = np.random.default_rng(3).normal(5.0, 2.0, size=(30, 10))
+    X[::3, 2] = np.nan
+    rows = [(f"e{i}", 3 * f, None if np.isnan(X[i, f]) else float(X[i, f])) for i in range(30) for f in range(10)]
+    df = spark.createDataFrame(rows, "id string, feature long, value double")
+    got = {(r.f1, r.f2): r.cov for r in matrix.covariance_rows(df, "id").collect()}
+    assert len(got) == 100
+    for f in range(10):
+        for g in range(10):
+            both = ~np.isnan(X[:, f]) & ~np.isnan(X[:, g])
+            assert abs(got[3 * f, 3 * g] - np.cov(X[both, f], X[both, g], bias=True)[0, 1]) < 1e-9
+
+
+def test_covariance_rows_of_repeated_and_null_ids(spark):
+    from dyad.operators.matrix import covariance_rows
+
+    rows = [("a", 0, 1.0), ("a", 0, 4.0), ("a", 1, 2.0), ("b", 0, 3.0), ("b", 1, 7.0), (None, 0, 50.0), (None, 1, 60.0)]
+    got = {(r.f1, r.f2): r.cov for r in covariance_rows(spark.createDataFrame(rows, "id string, feature long, value double"), "id").collect()}
+    for f, g in [(0, 0), (0, 1), (1, 0), (1, 1)]:
+        pairs = np.array([(v, w) for i, p, v in rows for j, q, w in rows if i is not None and i == j and (p, q) == (f, g)])
+        assert abs(got[f, g] - np.cov(pairs.T, bias=True)[0, 1]) < 1e-9
+
+
+def test_covariance_query_brings_no_matrix_to_the_driver(spark, sf_dir):
+    from dyad.plans.q_matrix import q_covariance
+
+    plan = q_covariance(spark, sf_dir)._jdf.queryExecution().toString()
+    assert "LocalTableScan" not in plan and "ExistingRDD" not in plan and "FlatMapGroupsInArrow" in plan
