@@ -12,7 +12,9 @@ from dyad.llm.common import table
 from dyad.llm.embedding_dedup import embedding_components
 from dyad.llm.kd_shards import shard_documents
 from dyad.llm.language_id import identify
+from dyad.llm.mask_search import SEARCH_SQL, search
 from dyad.llm.online_pack import pack_documents
+from dyad.llm.period_runs import periodic_runs, planted, run_digests
 from dyad.llm.quality_gbt import quality
 from dyad.llm.simhash import simhash_components
 from dyad.llm.spm import encode_documents
@@ -75,3 +77,16 @@ def op1_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), with_ids=False)
+
+
+@register
+def op12_mask_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+ORACLE["op12_mask_search"] = SEARCH_SQL
+
+
+@register
+def op13_period_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_digests(periodic_runs(table(spark, sf_dir, "documents"), planted))
