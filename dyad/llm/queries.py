@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from dyad.llm.binary_pack import digests, packed_sequences
 from dyad.llm.chaining import shared_passages
@@ -16,6 +17,7 @@ from dyad.llm.mask_search import SEARCH_SQL, search
 from dyad.llm.online_pack import pack_documents
 from dyad.llm.period_runs import periodic_runs, planted, run_digests
 from dyad.llm.quality_gbt import quality
+from dyad.llm.rp_forest import nearest
 from dyad.llm.simhash import simhash_components
 from dyad.llm.spm import encode_documents
 from dyad.llm.toxicity import toxicity
@@ -90,3 +92,8 @@ ORACLE["op12_mask_search"] = SEARCH_SQL
 @register
 def op13_period_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_digests(periodic_runs(table(spark, sf_dir, "documents"), planted))
+
+
+@register
+def op11_rp_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
