@@ -36,6 +36,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,15 +58,25 @@ PAIRS_AT_ONCE = 1 << 20
 _FOUND = "query long, cls long, low long, score double"
 
 
-def usable(embedding: str = "embedding") -> Column:
-    bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
-    return (F.col(embedding).isNotNull() & (F.size(embedding) > 0)
-            & ~F.exists(embedding, bad) & F.exists(embedding, lambda x: x != 0))
-
-
-def _norm(embedding: str) -> Column:
-    peak = F.array_max(F.transform(embedding, F.abs))
-    return F.sqrt(F.aggregate(embedding, F.lit(0.0), lambda s, x: s + (x / peak) * (x / peak))) * peak
+def _measured(batches):
+    """Rows that can take part, with the length and the norm of their vector."""
+    for batch in batches:
+        lists = batch.column(1)
+        size = np.asarray(pc.list_value_length(lists))
+        owner = np.repeat(np.arange(len(size)), size)
+        x = lists.flatten().to_numpy(zero_copy_only=False)  # a null component becomes NaN
+        good = size > 0
+        good[owner[~np.isfinite(x)]] = False
+        some = np.flatnonzero(good)
+        inside = good[owner]
+        peak, norm = np.zeros(len(size)), np.zeros(len(size))
+        np.maximum.at(peak, owner[inside], np.abs(x[inside]))
+        scaled = x[inside] / np.where(peak[owner[inside]] > 0, peak[owner[inside]], 1)
+        norm = np.sqrt(np.bincount(owner[inside], scaled * scaled, len(size))) * peak
+        pick = pa.array(some[peak[some] > 0])
+        yield pa.RecordBatch.from_arrays(
+            [c.take(pick) for c in batch.columns] + [pa.array(size.astype(np.int32)).take(pick), pa.array(norm).take(pick)],
+            names=["vec_id", "embedding", "asks", "dims", "norm"])
 
 
 def matrix(lists: pa.ListArray, dims: int) -> np.ndarray:
@@ -210,6 +221,7 @@ def _cell(dims: int, k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
         bar = np.full(len(vectors), -np.inf)
         held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         waiting, count = [], 0
+        enough = min(PAIRS_AT_ONCE, max(1 << 16, 2 * k * len(vectors)))
 
         def settle():
             nonlocal waiting, count, held
@@ -232,7 +244,7 @@ def _cell(dims: int, k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
                 i, j = np.nonzero(score >= bar[who][:, None])
                 waiting.append((who[i], lo + j, score[i, j]))
                 count += len(i)
-                if count >= PAIRS_AT_ONCE:
+                if count >= enough:
                     settle()
         if waiting:
             settle()
@@ -251,15 +263,17 @@ def nearest(rows: DataFrame, is_query: Column, k: int = TOP) -> DataFrame:
     spark = rows.sparkSession
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     with scratch() as tables:
-        base = rows.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("embedding"),
-                           is_query.alias("asks")).filter(F.col("vec_id").isNotNull() & usable())
-        sizes = base.groupBy(F.size("embedding").alias("dims")).agg(F.count(F.lit(1)).alias("n"), F.max(_norm("embedding")).alias("norm"))
-        shape = sizes.orderBy(F.desc("n"), "dims").first()
+        base = cut_lineage(
+            rows.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("embedding"), is_query.alias("asks"))
+            .filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull())
+            .mapInArrow(_measured, "vec_id long, embedding array<double>, asks boolean, dims int, norm double"))
+        shape = (base.groupBy("dims").agg(F.count(F.lit(1)).alias("n"), F.max("norm").alias("norm"))
+                 .orderBy(F.desc("n"), "dims").first())
         if shape is None:
             return empty
         dims, norm = shape.dims, shape.norm
         key = [F.xxhash64("embedding").alias("h1"), F.xxhash64(F.lit(1), F.reverse("embedding")).alias("h2")]
-        base = base.filter(F.size("embedding") == dims).select("vec_id", "embedding", "asks", *key)
+        base = base.filter(F.col("dims") == dims).select("vec_id", "embedding", "asks", *key)
         few = Window.partitionBy("h1", "h2").orderBy("vec_id")
         classes = cut_lineage(
             base.withColumn("at", F.dense_rank().over(few)).filter(F.col("at") <= k + 1).groupBy("h1", "h2")
