@@ -141,7 +141,7 @@ def q_sample_space(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ------------------------------------------------------------------ MLlib (rows-only checks)
-def training_frame(spark: SparkSession, sf_dir: str, with_folds: bool = False) -> DataFrame:
+def training_frame(spark: SparkSession, sf_dir: str, with_folds: bool = False, group: str = "drug_id") -> DataFrame:
     """Pairs with split (and group folds) and an assembled feature vector
     ``[cell vector, drug descriptors (2), tissue one-hot]``."""
     from dyad.operators.matrix import assemble, fit_onehot, onehot
@@ -150,7 +150,7 @@ def training_frame(spark: SparkSession, sf_dir: str, with_folds: bool = False) -
 
     sp = split_df(spark, sf_dir)
     if with_folds:
-        sp = balanced_group_kfold(sp, "drug_id", 5)
+        sp = balanced_group_kfold(sp, group, 5)
     cellv = fx.table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("cell_id"), F.col("embedding").cast("array<double>").alias("cell_vec"))
     drugd = fx.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("drug_id"), "p_size", "p_retailprice")
@@ -176,16 +176,6 @@ def q_gbt_early_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics_rows(learn.score(model, tf), "split")
 
 
-@register("fit_eval_split")
-def q_fit_eval_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fit on train, select on val, report val + test."""
-    from pyspark.ml.regression import LinearRegression
-
-    tf = training_frame(spark, sf_dir)
-    model = learn.fit_on_split(tf, LinearRegression(featuresCol="features", labelCol="label", regParam=0.01))
-    return metrics_rows(learn.score(model, tf).filter(F.col("split").isin("val", "test")), "split")
-
-
 @register("gbt_cv")
 def q_gbt_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T2 + T5: group 5-fold CV over sampled trials; mean fold RMSE per trial."""
@@ -218,25 +208,6 @@ def q_refit_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics_rows(learn.score(final, tf.filter(F.col("split") == "test")), "split")
 
 
-@register("oof_predictions")
-def q_oof_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Out-of-fold predictions -- each pair predicted once, by the model
-    trained without its fold; the duplicate-key audit must be empty."""
-    from dyad.operators.evaluate import out_of_fold
-    from pyspark.ml.regression import LinearRegression
-
-    tf = training_frame(spark, sf_dir, with_folds=True)
-    per_fold = []
-    for f in range(5):
-        model = LinearRegression(featuresCol="features", labelCol="label", regParam=0.01).fit(tf.filter(F.col("fold") != f))
-        per_fold.append(model.transform(tf.filter(F.col("fold") == f)).select(
-            "cell_id", "drug_id", "dataset", "fold", "label", "prediction"))
-    oof, dup = out_of_fold(per_fold, ["cell_id", "drug_id", "dataset"])
-    if dup.count():
-        raise AssertionError("a pair was predicted by more than one fold")
-    return oof
-
-
 @register("early_stop_stream", ORACLE_EARLY_STOP)
 def q_early_stop_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T7 as a Structured Streaming job: the events table is replayed as a
