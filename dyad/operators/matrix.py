@@ -2,8 +2,7 @@
 
 Cleaning runs in long form ``(id, feature, value)``: every statistic is a
 per-feature aggregate (partial + final), joined back through a one-row-per-
-feature table.  PCA uses MLlib on one vector column per entity, covariance
-multiplies blocks of features; neither emits an entity's feature pairs as rows.
+feature table.  Covariance multiplies blocks of features and never emits an entity's feature pairs as rows.
 """
 
 from __future__ import annotations
@@ -12,9 +11,8 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.feature import PCA, OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Correlation, Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -95,31 +93,6 @@ def zscore(long_df: DataFrame, feature: str = "feature", value: str = "value") -
     return out.withColumn(value, (F.col(value) - F.col("_mu")) / sd).drop("_mu", "_sd")
 
 
-def covariance(vectors: DataFrame, col: str = "features") -> tuple[list[list[float]], int]:
-    """M6: population covariance matrix of an ``array<double>`` column.
-
-    JVM-side: Pearson correlation via ``Correlation.corr`` (RowMatrix Gramian,
-    tree-aggregated) rescaled by the per-feature population sd from
-    ``Summarizer``.  Only the p x p result reaches the driver.
-    """
-    vec = vectors.select(array_to_vector(col).alias("_v"))
-    summary = vec.select(Summarizer.metrics("variance", "count").summary(F.col("_v")).alias("s")).first()["s"]
-    n = int(summary["count"])
-    var_samp = summary["variance"].toArray()
-    corr = Correlation.corr(vec, "_v", "pearson").first()[0].toArray()
-    scale = (n - 1) / n if n > 0 else 0.0
-    sd = [(v * scale) ** 0.5 for v in var_samp]
-    p = len(sd)
-    cov = [[0.0] * p for _ in range(p)]
-    for i in range(p):
-        for j in range(p):
-            if sd[i] == 0 or sd[j] == 0:
-                cov[i][j] = 0.0
-            else:
-                cov[i][j] = float(corr[i][j]) * sd[i] * sd[j]
-    return cov, n
-
-
 def covariance_rows(long_df: DataFrame, id_col: str, feature: str = "feature", value: str = "value") -> DataFrame:
     """M6 as a table ``f1, f2, cov``: population covariance of every two features
     over the entities that have a value of both (no row for two that share none).
@@ -174,30 +147,6 @@ def covariance_rows(long_df: DataFrame, id_col: str, feature: str = "feature", v
     return merged.select("f1", "f2", "cov")
 
 
-def pca_scores(vectors: DataFrame, k: int, id_col: str, col: str = "features", out: str = "pcs") -> DataFrame:
-    """M7: principal-component scores of centred vectors, ``k = min(k, p, n)``.
-
-    ``PCAModel`` does not centre (Q8): inputs must already be z-scored.  Each
-    component's sign is fixed so its largest-magnitude loading is positive.
-    """
-    vec = vectors.select(id_col, array_to_vector(col).alias("_v"))
-    first = vec.first()
-    if first is None:
-        return vectors.sparkSession.createDataFrame([], f"{id_col} string, {out} array<double>")
-    p = first["_v"].size
-    n = vec.count()
-    k = max(1, min(k, p, n))
-    model = PCA(k=k, inputCol="_v", outputCol="_pc").fit(vec)
-    pc = model.pc.toArray()  # p x k loadings, on the driver by construction
-    signs = []
-    for j in range(k):
-        col_j = pc[:, j]
-        signs.append(1.0 if col_j[abs(col_j).argmax()] >= 0 else -1.0)
-    scored = model.transform(vec).select(id_col, vector_to_array("_pc").alias("_s"))
-    sign_arr = F.array(*[F.lit(s) for s in signs])
-    return scored.select(id_col, F.transform("_s", lambda x, i: x * sign_arr[i]).alias(out))
-
-
 def explode_components(df: DataFrame, col: str = "pcs", prefix: str = "PC", k: int | None = None) -> DataFrame:
     """Wide ``PC1..PCk`` columns on request (P7 reads them back by prefix)."""
     k = k or len(df.select(col).first()[0])

@@ -56,17 +56,23 @@ def merge_scores(pairs: DataFrame, scores: DataFrame, key: str = "cell_id") -> D
     return pairs.join(scores, on=key, how="inner")
 
 
-def expression_scores(long_df: DataFrame, top_genes: int = 5000, pcs: int = 512, id_col: str = "cell_id",
-                      null_policy: str = "drop_all_null") -> DataFrame:
-    """Matrix branch of the build: long ``(cell_id, feature, value)`` -> drop
-    NULL features (M2) -> mean-impute (M3) -> top-variance features (A5, O1) ->
-    z-score (M5) -> PCA scores (M7).  Returns ``(cell_id, pcs array<double>)``."""
-    from dyad.operators.matrix import impute_mean, keep_features, pca_scores, select_features, to_vectors, top_variance
+def expression_vectors(long_df: DataFrame, top_genes: int = 5000, id_col: str = "cell_id",
+                       null_policy: str = "drop_all_null") -> DataFrame:
+    """Long ``(cell_id, feature, value)`` -> drop NULL features (M2) -> mean-impute
+    (M3) -> top-variance features (A5, O1) -> z-score (M5) -> ``(cell_id, features)``."""
+    from dyad.operators.matrix import impute_mean, keep_features, select_features, to_vectors, top_variance
     from dyad.operators.matrix import zscore as zscore_long
-    from dyad.session import cut_lineage
 
     clean = cut_lineage(impute_mean(keep_features(long_df, null_policy)))
     chosen = top_variance(clean, top_genes)
     z = zscore_long(select_features(clean, chosen))
-    vectors = cut_lineage(to_vectors(z, id_col))
-    return pca_scores(vectors, pcs, id_col)
+    return cut_lineage(to_vectors(z, id_col))
+
+
+def expression_scores(long_df: DataFrame, top_genes: int = 5000, pcs: int = 512, id_col: str = "cell_id",
+                      null_policy: str = "drop_all_null") -> DataFrame:
+    """Matrix branch of the build: the principal-component scores (M7) of
+    :func:`expression_vectors`, as ``(cell_id, pcs array<double>)``."""
+    from dyad.operators.pca import pca_scores
+
+    return pca_scores(expression_vectors(long_df, top_genes, id_col, null_policy), pcs, id_col)

@@ -148,12 +148,59 @@ def q_assemble(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.round(F.aggregate(arr, F.lit(0.0), lambda a, x: a + x), 4).alias("checksum"))
 
 
-@register("pca_scores")
+# Principal components in SQL: cyclic Jacobi rotations of the covariance ``m`` of all z-scored features
+# (padded to an even number), every round turning disjoint pairs; ``v`` collects the rotations.
+PCA_SQL = f"""{LONG_SQL},
+ f AS (SELECT feature, row_number() OVER (ORDER BY feature) i FROM kept),
+ zz AS (SELECT cell_id, i, (value - avg(value) OVER w) / CASE WHEN stddev_pop(value) OVER w = 0 THEN 1 ELSE stddev_pop(value) OVER w END z
+          FROM imp JOIN f USING (feature) WINDOW w AS (PARTITION BY i)),
+ nn AS (SELECT max(i) p, max(i) + max(i) % 2 n, count(DISTINCT cell_id) c FROM zz),
+ cv AS (SELECT a.i, b.i j, sum(a.z * b.z) / max(c - 1) v FROM zz a JOIN zz b USING (cell_id) CROSS JOIN nn GROUP BY a.i, b.i),
+ grid AS (SELECT n, i, list(coalesce(v, 0) ORDER BY j) r, list(CASE WHEN i = j THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END ORDER BY j) e
+            FROM (SELECT n, unnest(range(1, n + 1)) i FROM nn) JOIN (SELECT unnest(range(1, n + 1)) j FROM nn) ON true
+            LEFT JOIN cv USING (i, j) GROUP BY n, i),
+ jac AS (SELECT 0::BIGINT k, n, list(r ORDER BY i) m, list(e ORDER BY i) v FROM grid GROUP BY n
+         UNION ALL
+         SELECT k + 1, n, list_transform(m1, lambda row: list_transform(row, lambda x, j: cc[j] * x + ss[j] * row[pr[j]])),
+                list_transform(v, lambda row: list_transform(row, lambda x, j: cc[j] * x + ss[j] * row[pr[j]]))
+           FROM (SELECT *, list_transform(m, lambda row, j: list_transform(row, lambda x, i: cc[j] * x + ss[j] * m[pr[j]][i])) m1
+                   FROM (SELECT *, list_transform(tt, lambda t: 1 / sqrt(1 + t * t)) cc,
+                                list_transform(tt, lambda t, j: CASE WHEN j < pr[j] THEN -t ELSE t END / sqrt(1 + t * t)) ss
+                           FROM (SELECT *, list_transform(tau, lambda x: CASE WHEN x IS NULL THEN 0 WHEN x < 0 THEN -1 / (-x + sqrt(1 + x * x))
+                                                                           ELSE 1 / (x + sqrt(1 + x * x)) END) tt
+                                   FROM (SELECT *, list_transform(pr, lambda q, j: (m[greatest(q, j)][greatest(q, j)] - m[least(q, j)][least(q, j)])
+                                                                                  / nullif(2 * m[q][j], 0)) tau
+                                           FROM (SELECT *, list_transform(range(n), lambda j: CASE WHEN j = n - 1 THEN k % (n - 1) WHEN j = k % (n - 1) THEN n - 1
+                                                             ELSE (2 * (k % (n - 1)) - j + n - 1) % (n - 1) END + 1) pr
+                                                   FROM jac WHERE k < 10 * (n - 1)))))))
+,
+ fin AS (SELECT m, v FROM jac WHERE k = 10 * (n - 1)),
+ ev AS (SELECT j, variance, row_number() OVER (ORDER BY variance DESC) component
+          FROM (SELECT unnest(range(1, p + 1)) j, unnest(list_transform(range(1, p + 1), lambda j: m[j][j])) variance FROM fin CROSS JOIN nn)),
+ ld AS (SELECT component, unnest(range(1, p + 1)) i, unnest(list_transform(range(1, p + 1), lambda i: v[i][j])) l FROM ev CROSS JOIN fin CROSS JOIN nn
+         WHERE component <= least(p, c)),
+ sg AS (SELECT component, sign(arg_max(l, abs(l))) s FROM ld GROUP BY component)"""
+PCS = 512
+
+
+@register("pca_variance", f"""WITH RECURSIVE {PCA_SQL}
+SELECT component::INTEGER component, round(variance, 6) variance FROM ev WHERE component <= (SELECT least({PCS}, p, c) FROM nn)""")
+def q_pca_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M7: the variance of every principal component of the matrix branch."""
+    from dyad.operators.pca import fit
+    from dyad.plans.dataset import expression_vectors
+
+    model = fit(expression_vectors(long_df(spark, sf_dir)), PCS)
+    return model.variance_table(spark).select("component", r6("variance").alias("variance"))
+
+
+@register("pca_scores", f"""WITH RECURSIVE {PCA_SQL}
+SELECT cell_id, component::INTEGER component, round(sum(z * l) * any_value(s), 4) + 0.0 score
+  FROM zz JOIN ld USING (i) JOIN sg USING (component) WHERE component <= {PCS} GROUP BY cell_id, component""")
 def q_pca_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """M7 (rows-only check): full matrix branch -> 8 principal-component scores
-    per entity; invariants are tested in tests/test_matrix.py."""
-    from dyad.operators.matrix import explode_components
+    """M7: full matrix branch -> all principal-component scores of every entity."""
     from dyad.plans.dataset import expression_scores
 
-    lng = long_df(spark, sf_dir)
-    return explode_components(expression_scores(lng, top_genes=32, pcs=8), "pcs", k=8)
+    scores = expression_scores(long_df(spark, sf_dir), pcs=PCS)
+    return scores.select("cell_id", F.posexplode("pcs").alias("component", "score")).select(
+        "cell_id", (F.col("component") + 1).alias("component"), (r6("score", 4) + F.lit(0.0)).alias("score"))
