@@ -96,43 +96,3 @@ def duplicate_keys(df: DataFrame, keys: Sequence[str] | str) -> DataFrame:
     """Fan-out audit (J7): keys that occur more than once, with their count."""
     keys = [keys] if isinstance(keys, str) else list(keys)
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
-
-
-#: a key with more rows than this on the big side is salted in :func:`join_back`
-HOT_KEY_ROWS = 1_000_000
-#: number of salts a hot key is spread over
-SALT_BUCKETS = 64
-
-
-def join_back(
-    rows: DataFrame,
-    per_key: DataFrame,
-    keys: Sequence[str],
-    count_col: str,
-    how: str = "left",
-    hot_rows: int = HOT_KEY_ROWS,
-    salts: int = SALT_BUCKETS,
-) -> DataFrame:
-    """Attach a one-row-per-key table to the rows it summarises, salting hot keys.
-
-    ``per_key[count_col]`` is how many rows of ``rows`` carry the key.  Keys
-    above ``hot_rows`` (at most ``len(rows) / hot_rows`` of them, so a bounded,
-    broadcastable list) get their ``per_key`` row replicated over ``salts``
-    salts, and their rows are spread over the salts by a hash of the row; other
-    keys join on salt 0.  NULL keys match each other.  No task sees more than ``max(hot_rows, hot/salts)``
-    rows of one key.
-    """
-    keys = list(keys)
-    hot = per_key.filter(F.col(count_col) > hot_rows).select(*keys)
-    n_hot = hot.count()
-    payload = per_key.drop(count_col)
-    if n_hot == 0:
-        return join_null_safe(rows, payload, keys, how)
-    flags = hot.withColumn("_hot", F.lit(True))
-    flagged = join_small(rows, flags, keys, how="left", known_rows=n_hot, null_safe=True)
-    row_salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*[F.col(c) for c in rows.columns]), F.lit(salts)))
-    salted_rows = flagged.withColumn("_salt", F.coalesce(row_salt, F.lit(0)).cast("int")).drop("_hot")
-    salted_keys = join_small(payload, flags, keys, how="left", known_rows=n_hot, null_safe=True).withColumn(
-        "_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))
-    ).drop("_hot")
-    return join_null_safe(salted_rows, salted_keys, keys + ["_salt"], how).drop("_salt")

@@ -9,19 +9,25 @@ whose running sum gives each bucket's offset, and only the running sum
 *inside* a bucket is a window (over one bucket, never over a group).
 
 Inputs to :func:`prefix_totals` must have unique ``by + order`` keys
-(distinct values with a weight); the callers below build such tables with a
+(distinct values with a weight); quantiles of groups build such tables with a
 map-side-combined ``groupBy``, so a value that occurs in a third of all rows
-is one row here, not a hot partition.
+is one row here, not a hot partition.  Ranks order the rows themselves, with a
+row number after the value (:func:`average_ranks`); quantiles of a whole column
+need no order at all (:mod:`dyad.operators.quantiles`).
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from dyad.operators.joins import HOT_KEY_ROWS, input_bytes, join_back, join_null_safe, join_small
+from dyad.operators.joins import input_bytes, join_null_safe, join_small
+from dyad.operators.quantiles import ordered_bits, reads_a_table, refine_quantiles
 from dyad.session import cut_lineage
 
 #: groups above this many rows take the distributed path in :func:`group_quantiles`
@@ -55,17 +61,11 @@ def prefix_agg(
     ``value=None``) in ``order`` within ``by`` groups, without a window over a group.
 
     Strictly-before rows only unless ``inclusive``.  ``total`` adds the group's
-    total.  ``buckets`` defaults to one per :data:`BUCKET_BYTES` of input, at
-    least the default parallelism (or the shuffle partitions, if fewer) and at
-    most :data:`MAX_BUCKETS`; the shuffle partitions if the size is unknown.  A NULL in ``by`` is a group.
+    total.  ``buckets`` defaults to :func:`bucket_count`.  A NULL in ``by`` is a group.
     """
     order, by = _names(order), _names(by)
     spark = df.sparkSession
-    if buckets is None:
-        partitions, size = int(spark.conf.get("spark.sql.shuffle.partitions")), input_bytes(df)
-        floor = min(partitions, spark.sparkContext.defaultParallelism)
-        buckets = partitions if size is None else max(1, floor, min(MAX_BUCKETS, -(-size // BUCKET_BYTES)))
-    n_buckets = buckets
+    n_buckets = buckets or bucket_count(df)
     fn = {"sum": F.sum, "min": F.min, "max": F.max}[how]
     w = F.col(value) if value else F.lit(1)
     # Range partitions are the buckets; the checkpoint pins each row's bucket so
@@ -137,43 +137,108 @@ def value_counts(df: DataFrame, value: str, by: Sequence[str] | str | None = Non
     return df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c"))
 
 
+def bucket_count(df: DataFrame) -> int:
+    """Range buckets for ``df``: one per :data:`BUCKET_BYTES` of input, at least the
+    default parallelism (or the shuffle partitions, if fewer) and at most
+    :data:`MAX_BUCKETS`; the shuffle partitions if the size is unknown."""
+    spark = df.sparkSession
+    partitions, size = int(spark.conf.get("spark.sql.shuffle.partitions")), input_bytes(df)
+    floor = min(partitions, spark.sparkContext.defaultParallelism)
+    return partitions if size is None else max(1, floor, min(MAX_BUCKETS, -(-size // BUCKET_BYTES)))
+
+
+def with_row_id(df: DataFrame, name: str = "_id") -> DataFrame:
+    """``df`` with a unique long that does not change when a task is repeated:
+    it numbers the rows of stored files."""
+    return (df if reads_a_table(df) else cut_lineage(df)).withColumn(name, F.monotonically_increasing_id())
+
+
+def _change(column: pa.ChunkedArray) -> np.ndarray:
+    """Rows whose value differs from the row before (nulls are equal)."""
+    if pa.types.is_floating(column.type):
+        null, bits = column.is_null().to_numpy(), ordered_bits(column.to_numpy().astype(float))
+        return np.append(True, (null[1:] != null[:-1]) | (~null[1:] & (bits[1:] != bits[:-1])))
+    code = column.combine_chunks().dictionary_encode(null_encoding="encode")
+    code = (code if isinstance(code, pa.DictionaryArray) else code.combine_chunks()).indices.to_numpy(zero_copy_only=False)
+    return np.append(True, code[1:] != code[:-1])
+
+
+def _local_ranks(n_by: int, at: int):
+    """A range bucket, sorted by its first ``n_by`` columns and column ``at`` ->
+    the same rows with ``_less`` (rows of the group before the value, in the bucket),
+    ``_ties`` and ``_bits`` (the value as a number in order)."""
+
+    def run(batches):
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        t = pa.Table.from_batches(held)
+        n = t.num_rows
+        group = np.zeros(n, bool)
+        group[0] = True
+        for c in range(n_by):
+            group |= _change(t.column(c))
+        null = t.column(at).is_null().to_numpy()
+        bits = ordered_bits(t.column(at).to_numpy().copy())
+        group[1:] |= null[1:] != null[:-1]
+        value = group.copy()
+        value[1:] |= bits[1:] != bits[:-1]
+        value[null] = group[null]
+        starts, groups = np.flatnonzero(value), np.flatnonzero(group)
+        ties = np.diff(np.append(starts, n))
+        which = np.cumsum(value) - 1
+        less = starts[which] - groups[np.cumsum(group) - 1]
+        signed = (bits ^ np.uint64(1 << 63)).view(np.int64)
+        for name, made in (("_less", less), ("_ties", ties[which]), ("_bits", signed)):
+            t = t.append_column(name, pa.array(made, pa.int64()))
+        yield from t.to_batches(max_chunksize=65_536)
+
+    return run
+
+
 def average_ranks(
     df: DataFrame, value: str, by: Sequence[str] | str | None = None, out: str | None = None,
-    hot_rows: int = HOT_KEY_ROWS,
+    row_id: str | None = None, buckets: int | None = None,
 ) -> DataFrame:
     """Average rank (1-based, ties share the mean of their positions) of ``value``
     within ``by``; null values get a null rank.  Same as ``scipy.stats.rankdata``.
-    """
-    by = _names(by)
-    out = out or f"{value}_rank"
-    ranks = prefix_totals(value_counts(df, value, by), [value], by, weight="_c", out="_lt")
-    ranks = ranks.select(*by, value, "_c", (F.col("_lt") + (F.col("_c") + F.lit(1)) / F.lit(2.0)).alias(out))
-    # Join back on the value: a value held by many rows is salted over many
-    # tasks (its count is known from the value table).
-    return join_back(df, ranks, by + [value], "_c", how="left", hot_rows=hot_rows)
-
 
-def average_ranks_many(
-    df: DataFrame, values: Sequence[str], outs: Sequence[str], by: Sequence[str] | str | None = None,
-    hot_rows: int = HOT_KEY_ROWS,
-) -> DataFrame:
-    """Average ranks of several columns in one ordering pass: the columns'
-    distinct values are stacked under a column tag, ordered together (the tag
-    is part of the group), then joined back column by column."""
+    Rows are range-partitioned once by group, value and a row number, so rows of
+    one value may fill many buckets.  A bucket ranks its own rows; a table of one
+    row per bucket and group holds the rows before it, and how many rows of its
+    first and last value lie in other buckets.  Nothing is joined on a value.
+    ``row_id`` names a unique long column of ``df`` (default: made here)."""
     by = _names(by)
-    stacked = None
-    for i, v in enumerate(values):
-        part = df.select(*by, F.lit(i).alias("_col"), F.col(v).cast("double").alias("_v"))
-        stacked = part if stacked is None else stacked.unionByName(part)
-    counts = value_counts(stacked, "_v", by + ["_col"])
-    ranks = prefix_totals(counts, ["_v"], by + ["_col"], weight="_c", out="_lt")
-    ranks = ranks.select(*by, "_col", "_v", "_c", (F.col("_lt") + (F.col("_c") + F.lit(1)) / F.lit(2.0)).alias("_r"))
-    ranks = cut_lineage(ranks)
-    out = df
-    for i, (v, name) in enumerate(zip(values, outs)):
-        one = ranks.filter(F.col("_col") == i).select(*by, F.col("_v").alias(v), "_c", F.col("_r").alias(name))
-        out = join_back(out, one, by + [v], "_c", how="left", hot_rows=hot_rows)
-    return out
+    out = out or f"{value}_rank"
+    src = df if row_id else with_row_id(df, "_id")
+    key = row_id or "_id"
+    others = [c for c in src.columns if c not in by]
+    # grouping columns first, then the value, as the local step expects
+    typed = src.select(*by, F.col(value).cast("double").alias("_v"), *others)
+    order = [*by, F.col("_v").isNull(), "_v", key]
+    ranged = typed.repartitionByRange(buckets or bucket_count(src), *order).sortWithinPartitions(*by, F.col("_v").isNull(), "_v")
+    schema = T.StructType([*typed.schema.fields, *[T.StructField(c, T.LongType()) for c in ("_less", "_ties", "_bits")]])
+    placed = cut_lineage(ranged.mapInArrow(_local_ranks(len(by), len(by)), schema).withColumn("_bucket", F.spark_partition_id()))
+    ends = placed.filter(F.col("_v").isNotNull()).groupBy(*by, "_bucket").agg(
+        F.count(F.lit(1)).alias("n"), F.min("_bits").alias("lo"), F.max("_bits").alias("hi"),
+        F.min_by("_ties", "_bits").alias("lo_n"), F.max_by("_ties", "_bits").alias("hi_n"))
+    before = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    ends = cut_lineage(ends.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))))
+    edge = ends.select(*by, "_bucket", F.explode(F.when(F.col("lo") == F.col("hi"), F.array(F.struct(F.col("lo").alias("e"), F.col("lo_n").alias("c"))))
+                       .otherwise(F.array(F.struct(F.col("lo").alias("e"), F.col("lo_n").alias("c")),
+                                          F.struct(F.col("hi").alias("e"), F.col("hi_n").alias("c"))))).alias("s")).select(*by, "_bucket", "s.e", "s.c")
+    same = Window.partitionBy(*by, "e")
+    earlier = same.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    edge = edge.withColumn("total", F.sum("c").over(same)).withColumn("prior", F.coalesce(F.sum("c").over(earlier), F.lit(0)))
+    limits = edge.groupBy(*by, "_bucket").agg(
+        F.min_by("total", "e").alias("_lo_t"), F.min_by("prior", "e").alias("_lo_p"), F.min("e").alias("_lo"),
+        F.max_by("total", "e").alias("_hi_t"), F.max("e").alias("_hi"))
+    limits = join_null_safe(limits, ends.select(*by, "_bucket", F.col("before").alias("_before")), [*by, "_bucket"])
+    rows = join_small(placed, limits, [*by, "_bucket"], how="left", null_safe=True)
+    less = F.col("_before") + F.when(F.col("_bits") == F.col("_lo"), -F.col("_lo_p")).otherwise(F.col("_less"))
+    ties = F.when(F.col("_bits") == F.col("_lo"), F.col("_lo_t")).when(F.col("_bits") == F.col("_hi"), F.col("_hi_t")).otherwise(F.col("_ties"))
+    rank = F.when(F.col("_v").isNotNull(), less + (ties + F.lit(1)) / F.lit(2.0))
+    return rows.select(*[c for c in src.columns if row_id or c != "_id"], rank.alias(out))
 
 
 def _interp(lo: Column, hi: Column, above: Column, below: Column) -> Column:
@@ -218,10 +283,7 @@ def distributed_quantiles(
 
 def global_quantiles(df: DataFrame, value: str, probs: Sequence[float]) -> list[float | None]:
     """Exact quantiles of a whole column, returned to the driver (a few scalars)."""
-    row = distributed_quantiles(df, value, probs).first()
-    if row is None:
-        return [None] * len(probs)
-    return [row[f"q{i}"] for i in range(len(probs))]
+    return refine_quantiles(df, value, probs)
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int, seed: int = 17) -> DataFrame:

@@ -48,13 +48,70 @@ def test_running_min(spark):
     assert got == [5.0, 3.0, 3.0, 1.0, 1.0, 0.5]
 
 
-def test_salted_join_back_equals_plain(spark):
-    # one value holds most rows: with a tiny hot threshold it is salted
-    rows = [(i, 1.0 if i % 4 else float(i)) for i in range(400)]
-    df = spark.createDataFrame(rows, "i long, v double")
-    plain = {r["i"]: r["r"] for r in average_ranks(df, "v", out="r").collect()}
-    salted = {r["i"]: r["r"] for r in average_ranks(df, "v", out="r", hot_rows=10).collect()}
-    assert plain == salted and len(salted) == 400
+def ranked(df, by=None, **kw):
+    return {r["i"]: r["r"] for r in average_ranks(df, "v", by, out="r", **kw).collect()}
+
+
+def test_ranks_of_values_that_fill_many_buckets(spark):
+    # one value holds most rows, in two groups, with nulls, NaN and both zeros
+    rows = []
+    for i in range(600):
+        v = 1.0 if i % 4 else [0.0, -0.0, float("nan"), None, float(i), float("-inf"), float("inf")][i // 4 % 7]
+        rows.append((i, "a" if i % 3 else None, v))
+    df = spark.createDataFrame(rows, "i long, g string, v double").repartition(7)
+    want = {}
+    for g in ("a", None):
+        own = [(i, v) for i, k, v in rows if k == g]
+        some = pd.Series([np.inf if v != v else v for _, v in own if v is not None])
+        key = some.where(some != np.inf, 1e300)
+        key[[v == v and v == np.inf for _, v in own if v is not None]] = 1e299  # NaN after infinity
+        r = iter(key.rank(method="average"))
+        want |= {i: None if v is None else next(r) for i, v in own}
+    for buckets in (1, 5, 40):
+        assert ranked(df, "g", buckets=buckets) == want
+    same = spark.createDataFrame([(i, 2.0) for i in range(100)], "i long, v double")
+    assert set(ranked(same, buckets=8).values()) == {50.5}
+    assert ranked(same.limit(0)) == {}
+
+
+def test_ranks_within_double_groups(spark):
+    df = spark.createDataFrame([(i, 0.0 if i % 2 else -0.0, float(i % 5)) for i in range(40)], "i long, g double, v double")
+    assert ranked(df, "g", buckets=4) == {i: 4.5 + 8 * (i % 5) for i in range(40)}
+
+
+@settings(max_examples=12, deadline=None)
+@given(st.lists(st.one_of(st.floats(allow_nan=False), st.sampled_from([0.0, -0.0, 1.5])), min_size=1, max_size=60),
+       st.sampled_from([0.0, 0.005, 0.25, 0.5, 0.995, 1.0]), st.sampled_from([0, 3, 100_000]))
+def test_refined_quantile_equals_sorted_value(spark, xs, p, fetch):
+    from dyad.operators import quantiles
+
+    old, quantiles.FETCH_ROWS = quantiles.FETCH_ROWS, fetch
+    try:
+        df = spark.createDataFrame([(float(x),) for x in xs] + [(None,)], "v double")
+        (got,) = quantiles.refine_quantiles(df, "v", [p])
+    finally:
+        quantiles.FETCH_ROWS = old
+    s, h = sorted(xs), p * (len(xs) - 1)
+    lo, hi = s[int(np.floor(h))], s[int(np.ceil(h))]
+    want = lo if lo == hi or h == int(h) else (np.ceil(h) - h) * lo + (h - np.floor(h)) * hi
+    assert got == want or (got != got and want != want)
+
+
+def test_refinement_reads_more_bits_only_where_needed(spark, monkeypatch):
+    from dyad.operators import quantiles
+
+    x = np.random.default_rng(0).normal(1e6, 1e-3, 5000)
+    df = spark.createDataFrame([(float(v),) for v in x] + [(float("nan"),)] * 3, "v double")
+    monkeypatch.setattr(quantiles, "FETCH_ROWS", 50)
+    s = np.sort(np.append(x, [np.nan] * 3))
+    probs = [0.0, 0.1, 0.5, 0.9]
+    h = [p * (len(s) - 1) for p in probs]
+    want = [s[int(np.floor(v))] if v == int(v) else (np.ceil(v) - v) * s[int(np.floor(v))] + (v - np.floor(v)) * s[int(np.ceil(v))] for v in h]
+    assert quantiles.refine_quantiles(df, "v", probs) == want
+    assert np.isnan(quantiles.refine_quantiles(df, "v", [1.0])[0])
+    assert quantiles.refine_quantiles(df.limit(0), "v", [0.5, 1.0]) == [None, None]
+    ints = spark.range(101).selectExpr("cast(id as int) v")
+    assert quantiles.refine_quantiles(ints, "v", [0.25, 0.5]) == [25.0, 50.0]
 
 
 def test_grouped_prefix_sums_across_buckets(spark):
