@@ -163,39 +163,69 @@ def _change(column: pa.ChunkedArray) -> np.ndarray:
     return np.append(True, code[1:] != code[:-1])
 
 
-def _local_ranks(n_by: int, at: int):
-    """A range bucket, sorted by its first ``n_by`` columns and column ``at`` ->
-    the same rows with ``_less`` (rows of the group before the value, in the bucket),
-    ``_ties`` and ``_bits`` (the value as a number in order)."""
+def _whole_bucket(batches) -> pa.Table | None:
+    held = [b for b in batches if b.num_rows]
+    return pa.Table.from_batches(held) if held else None
+
+
+def _places(t: pa.Table, n_by: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a bucket sorted by its first ``n_by`` columns and the next one, the value:
+    first rows of the groups (the nulls of a group are one of their own), and per row
+    the rows of its group before its value, the rows of its value, and the value as
+    a number in order."""
+    n, column = t.num_rows, t.column(n_by)
+    group = np.zeros(n, bool)
+    group[0] = True
+    for c in range(n_by):
+        group |= _change(t.column(c))
+    null = column.is_null().to_numpy()
+    bits = (ordered_bits(column.to_numpy().copy()) ^ np.uint64(1 << 63)).view(np.int64)
+    group[1:] |= null[1:] != null[:-1]
+    value = group.copy()
+    value[1:] |= (bits[1:] != bits[:-1]) & ~null[1:]
+    starts, groups = np.flatnonzero(value), np.flatnonzero(group)
+    which = np.cumsum(value) - 1
+    less = starts[which] - groups[np.cumsum(group) - 1]
+    return groups, less, np.diff(np.append(starts, n))[which], bits
+
+
+def _local_ranks(n_by: int):
+    """A bucket's rows with ``_less``, ``_ties`` and ``_bits`` (see :func:`_places`)."""
 
     def run(batches):
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        t = pa.Table.from_batches(held)
-        n = t.num_rows
-        group = np.zeros(n, bool)
-        group[0] = True
-        for c in range(n_by):
-            group |= _change(t.column(c))
-        null = t.column(at).is_null().to_numpy()
-        bits = ordered_bits(t.column(at).to_numpy().copy())
-        group[1:] |= null[1:] != null[:-1]
-        value = group.copy()
-        value[1:] |= bits[1:] != bits[:-1]
-        value[null] = group[null]
-        starts, groups = np.flatnonzero(value), np.flatnonzero(group)
-        ties = np.diff(np.append(starts, n))
-        which = np.cumsum(value) - 1
-        less = starts[which] - groups[np.cumsum(group) - 1]
-        signed = (bits ^ np.uint64(1 << 63)).view(np.int64)
-        for name, made in (("_less", less), ("_ties", ties[which]), ("_bits", signed)):
-            t = t.append_column(name, pa.array(made, pa.int64()))
-        yield from t.to_batches(max_chunksize=65_536)
+        t = _whole_bucket(batches)
+        if t is not None:
+            for name, made in zip(("_less", "_ties", "_bits"), _places(t, n_by)[1:]):
+                t = t.append_column(name, pa.array(made, pa.int64()))
+            yield from t.to_batches(max_chunksize=65_536)
 
     return run
 
 
+def _ranged(src: DataFrame, by: list[str], value: str, row_id: str, others: Sequence[str], buckets: int | None) -> DataFrame:
+    """``by``, the value as ``_v`` and ``others`` in range buckets by group, value and row number, sorted."""
+    typed = src.select(*by, F.col(value).cast("double").alias("_v"), *others)
+    order = [*by, F.col("_v").isNull(), "_v"]
+    return typed.repartitionByRange(buckets or bucket_count(src), *order, row_id).sortWithinPartitions(*order)
+
+
+def _bucket_limits(ends: DataFrame, by: list[str]) -> DataFrame:
+    """From each bucket's groups (``_bucket, n, lo, hi, lo_n, hi_n``: rows, first and
+    last value and their rows) ``_before`` (rows of the group in earlier buckets) and,
+    over all buckets, ``_lo_p`` (earlier rows of the first value), ``_lo_t`` and
+    ``_hi_t`` (all rows of the first and of the last value)."""
+    before = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.withColumn("_before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    sides = F.array_distinct(F.array(F.struct(F.col("lo").alias("e"), F.col("lo_n").alias("c")), F.struct(F.col("hi").alias("e"), F.col("hi_n").alias("c"))))
+    edge = ends.withColumn("_s", F.explode(sides)).select("*", "_s.e", "_s.c")
+    same = Window.partitionBy(*by, "e")
+    earlier = same.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    edge = edge.withColumn("_t", F.sum("c").over(same)).withColumn("_p", F.coalesce(F.sum("c").over(earlier), F.lit(0)))
+    kept = [F.first(c).alias(c) for c in ends.columns if c not in (*by, "_bucket")]
+    return edge.groupBy(*by, "_bucket").agg(
+        *kept, F.min_by("_t", "e").alias("_lo_t"), F.min_by("_p", "e").alias("_lo_p"), F.max_by("_t", "e").alias("_hi_t"))
+
+
 def average_ranks(
     df: DataFrame, value: str, by: Sequence[str] | str | None = None, out: str | None = None,
     row_id: str | None = None, buckets: int | None = None,
@@ -211,36 +241,99 @@ def average_ranks(
     by = _names(by)
     out = out or f"{value}_rank"
     src = df if row_id else with_row_id(df, "_id")
-    key = row_id or "_id"
-    others = [c for c in src.columns if c not in by]
-    # grouping columns first, then the value, as the local step expects
-    typed = src.select(*by, F.col(value).cast("double").alias("_v"), *others)
-    order = [*by, F.col("_v").isNull(), "_v", key]
-    ranged = typed.repartitionByRange(buckets or bucket_count(src), *order).sortWithinPartitions(*by, F.col("_v").isNull(), "_v")
-    schema = T.StructType([*typed.schema.fields, *[T.StructField(c, T.LongType()) for c in ("_less", "_ties", "_bits")]])
-    placed = cut_lineage(ranged.mapInArrow(_local_ranks(len(by), len(by)), schema).withColumn("_bucket", F.spark_partition_id()))
+    ranged = _ranged(src, by, value, row_id or "_id", [c for c in src.columns if c not in by], buckets)
+    schema = T.StructType([*ranged.schema.fields, *[T.StructField(c, T.LongType()) for c in ("_less", "_ties", "_bits")]])
+    placed = cut_lineage(ranged.mapInArrow(_local_ranks(len(by)), schema).withColumn("_bucket", F.spark_partition_id()))
     ends = placed.filter(F.col("_v").isNotNull()).groupBy(*by, "_bucket").agg(
         F.count(F.lit(1)).alias("n"), F.min("_bits").alias("lo"), F.max("_bits").alias("hi"),
         F.min_by("_ties", "_bits").alias("lo_n"), F.max_by("_ties", "_bits").alias("hi_n"))
-    before = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    ends = cut_lineage(ends.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))))
-    edge = ends.select(*by, "_bucket", F.explode(F.when(F.col("lo") == F.col("hi"), F.array(F.struct(F.col("lo").alias("e"), F.col("lo_n").alias("c"))))
-                       .otherwise(F.array(F.struct(F.col("lo").alias("e"), F.col("lo_n").alias("c")),
-                                          F.struct(F.col("hi").alias("e"), F.col("hi_n").alias("c"))))).alias("s")).select(*by, "_bucket", "s.e", "s.c")
-    same = Window.partitionBy(*by, "e")
-    earlier = same.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    edge = edge.withColumn("total", F.sum("c").over(same)).withColumn("prior", F.coalesce(F.sum("c").over(earlier), F.lit(0)))
-    limits = edge.groupBy(*by, "_bucket").agg(
-        F.min_by("total", "e").alias("_lo_t"), F.min_by("prior", "e").alias("_lo_p"), F.min("e").alias("_lo"),
-        F.max_by("total", "e").alias("_hi_t"), F.max("e").alias("_hi"))
-    limits = join_null_safe(limits, ends.select(*by, "_bucket", F.col("before").alias("_before")), [*by, "_bucket"])
+    limits = cut_lineage(_bucket_limits(ends, by)).drop("n", "lo_n", "hi_n")
     rows = join_small(placed, limits, [*by, "_bucket"], how="left", null_safe=True)
-    less = F.col("_before") + F.when(F.col("_bits") == F.col("_lo"), -F.col("_lo_p")).otherwise(F.col("_less"))
-    ties = F.when(F.col("_bits") == F.col("_lo"), F.col("_lo_t")).when(F.col("_bits") == F.col("_hi"), F.col("_hi_t")).otherwise(F.col("_ties"))
+    first, last = F.col("_bits") == F.col("lo"), F.col("_bits") == F.col("hi")
+    less = F.col("_before") + F.when(first, -F.col("_lo_p")).otherwise(F.col("_less"))
+    ties = F.when(first, F.col("_lo_t")).when(last, F.col("_hi_t")).otherwise(F.col("_ties"))
     rank = F.when(F.col("_v").isNotNull(), less + (ties + F.lit(1)) / F.lit(2.0))
     return rows.select(*[c for c in src.columns if row_id or c != "_id"], rank.alias(out))
 
 
+#: what :func:`pair_sums` adds up per bucket and group
+_PAIR_SUMS = ("r_lo", "r_mid", "r_hi", "r2", "l_mid", "l2_mid", "rl_mid", "n_mid", "se", "ae", "my", "mv", "cyy", "cvv", "cyv")
+
+
+def _pair_sums(n_by: int):
+    """A bucket sorted by group and value ``_v`` (then ``_y``, ``_r``) -> one row per group."""
+
+    def run(batches):
+        t = _whole_bucket(batches)
+        if t is None:
+            return
+        groups, less, ties, bits = _places(t, n_by)
+        size = np.diff(np.append(groups, t.num_rows))
+        owner = np.repeat(np.arange(len(groups)), size)
+        v, y, r = (t.column(n_by + i).to_numpy() for i in range(3))
+        lo, hi = bits[groups], bits[groups + size - 1]
+        first = bits == lo[owner]
+        last = (bits == hi[owner]) & ~first
+        mid = ~(first | last)
+        local = less + (ties + 1) / 2
+
+        def add(x):
+            return np.add.reduceat(np.where(np.isnan(r), 0, x), groups)
+
+        with np.errstate(invalid="ignore", over="ignore"):
+            my, mv = (np.add.reduceat(x, groups) / size for x in (y, v))
+            dy, dv = y - my[owner], v - mv[owner]
+            made = (add(first * r), add(mid * r), add(last * r), add(r * r), add(mid * local), add(mid * local * local), add(mid * local * r),
+                    np.add.reduceat(mid, groups, dtype=float), np.add.reduceat((y - v) ** 2, groups), np.add.reduceat(np.abs(y - v), groups),
+                    my, mv, np.add.reduceat(dy * dy, groups), np.add.reduceat(dv * dv, groups), np.add.reduceat(dy * dv, groups))
+        whole = ~t.column(n_by).is_null().to_numpy()[groups]
+        at = pa.array(groups)
+        ints = (np.where(whole, size, 0), lo, hi, ties[groups], ties[groups + size - 1])
+        yield pa.RecordBatch.from_arrays(
+            [*[t.column(c).combine_chunks().take(at) for c in range(n_by)], *[pa.array(x.astype(np.int64)) for x in ints],
+             *[pa.array(x.astype(float)) for x in made]],
+            names=[*t.schema.names[:n_by], "n", "lo", "hi", "lo_n", "hi_n", *_PAIR_SUMS])
+
+    return run
+
+
+def pair_sums(df: DataFrame, y: str, y_rank: str, value: str, by: Sequence[str], row_id: str, buckets: int | None = None) -> DataFrame:
+    """Per ``by`` group over the rows with ``value``: ``n``, sums of products of the
+    centred average ranks of ``y`` (given) and ``value`` (``rr, ry, rv``), of the
+    centred numbers (``yv, yy, vv``), of squared and of absolute differences
+    (``se, ae``).  A group without such rows has ``n`` 0.
+
+    The rows are ordered by ``value`` once and added up in their range buckets;
+    ranks of a bucket are off by a number that its limits tell, so only sums leave
+    it and the ranks of ``value`` are never stored."""
+    by = list(by)
+    ranged = _ranged(df, by, value, row_id, [F.col(y).alias("_y"), F.col(y_rank).alias("_r"), row_id], buckets)
+    ints = [T.StructField(c, T.LongType()) for c in ("n", "lo", "hi", "lo_n", "hi_n")]
+    schema = T.StructType([*[ranged.schema[c] for c in by], *ints, *[T.StructField(c, T.DoubleType()) for c in _PAIR_SUMS]])
+    sums = cut_lineage(ranged.drop(row_id).mapInArrow(_pair_sums(len(by)), schema).withColumn("_bucket", F.spark_partition_id()))
+    parts = _bucket_limits(sums.filter("n > 0"), by)
+    n, before = F.col("n"), F.col("_before")
+    n_lo, n_hi = F.col("lo_n"), F.when(F.col("lo") == F.col("hi"), 0).otherwise(F.col("hi_n"))
+    c_lo = before - F.col("_lo_p") + (F.col("_lo_t") + 1) / F.lit(2.0)
+    c_hi = before + n - F.col("hi_n") + (F.col("_hi_t") + 1) / F.lit(2.0)
+    rank2 = n_lo * c_lo * c_lo + n_hi * c_hi * c_hi + F.col("l2_mid") + 2 * before * F.col("l_mid") + F.col("n_mid") * before * before
+    cross = F.col("r_lo") * c_lo + F.col("r_hi") * c_hi + F.col("rl_mid") + before * F.col("r_mid")
+    group = Window.partitionBy(*by)
+    mean_y, mean_v = (F.sum(F.col(m) * n).over(group) / F.sum(n).over(group) for m in ("my", "mv"))
+    apart = parts.select(*by, "n", "r2", "se", "ae", rank2.alias("v2"), cross.alias("rv"), "cyy", "cvv", "cyv",
+                         (F.col("my") - mean_y).alias("dy"), (F.col("mv") - mean_v).alias("dv"))
+    total = F.sum("n")
+    off = total * ((total + 1) / F.lit(2.0)) * ((total + 1) / F.lit(2.0))
+    done = apart.groupBy(*by).agg(
+        total.alias("n"), (F.sum("rv") - off).alias("rr"), (F.sum("r2") - off).alias("ry"), (F.sum("v2") - off).alias("rv"),
+        F.sum(F.col("cyv") + n * F.col("dy") * F.col("dv")).alias("yv"), F.sum(F.col("cyy") + n * F.col("dy") * F.col("dy")).alias("yy"),
+        F.sum(F.col("cvv") + n * F.col("dv") * F.col("dv")).alias("vv"), F.sum("se").alias("se"), F.sum("ae").alias("ae"))
+    if not by:
+        return done.withColumn("n", F.coalesce("n", F.lit(0)))
+    alone = sums.select(*by).distinct()
+    return join_null_safe(alone, done, by, "left").withColumn("n", F.coalesce("n", F.lit(0)))
+
+
 def _interp(lo: Column, hi: Column, above: Column, below: Column) -> Column:
     """Weights as in Spark's ``percentile``, so that both paths of
     :func:`group_quantiles` give the same bits: ``above`` is the distance to the
@@ -338,10 +431,18 @@ def group_quantiles(
     return cold.unionByName(hot_part.select(*cold.columns))
 
 
+#: a key table of at most this many rows (known by count) is numbered in one task
+SMALL_ROWS = 100_000
+
+
 def dense_index(
-    df: DataFrame, order: Sequence[str] | str, out: str = "idx", by: Sequence[str] | str | None = None
+    df: DataFrame, order: Sequence[str] | str, out: str = "idx", by: Sequence[str] | str | None = None,
+    known_rows: int | None = None,
 ) -> DataFrame:
     """0-based position of each row in ``order`` (unique keys) within ``by``;
-    the distributed replacement for ``row_number() over (order by ...) - 1``.
+    the distributed replacement for ``row_number() over (order by ...) - 1``,
+    which it is itself for a frame counted to be at most :data:`SMALL_ROWS`.
     """
+    if not _names(by) and known_rows is not None and known_rows <= SMALL_ROWS:
+        return df.withColumn(out, (F.row_number().over(Window.orderBy(*_names(order))) - 1).cast("long"))
     return prefix_totals(df, order, by, out=out)

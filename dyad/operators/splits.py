@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from dyad.operators.joins import join_null_safe, join_small
 from dyad.operators.order import dense_index
+from dyad.session import cut_lineage
 
 SPLIT_GROUPS = ("drug_id", "cell_id")
 #: slots made by one row of the slot table in :func:`balanced_group_kfold`
@@ -45,13 +46,13 @@ def group_split(
     Rows without a group (NULL) are one group, so that every row gets a split."""
     if group not in SPLIT_GROUPS:
         raise ValueError(f"cannot split by {group!r}: expected one of {SPLIT_GROUPS}")
-    groups = df.select(group).distinct()
-    g1 = dense_index(groups.withColumn("_k", order_key(group, seed)), ["_k", group], out="_r1")
-    n_groups = g1.count()
+    groups = cut_lineage(df.select(group).distinct())
+    n_groups = groups.count()
+    g1 = dense_index(groups.withColumn("_k", order_key(group, seed)), ["_k", group], out="_r1", known_rows=n_groups)
     n_test = frac_count(test, n_groups)
     n_val = frac_count(val / (1.0 - test), n_groups - n_test)
     rest = g1.filter(F.col("_r1") >= n_test).select(group).withColumn("_k", order_key(group, seed + 1))
-    g2 = dense_index(rest, ["_k", group], out="_r2").select(group, "_r2")
+    g2 = dense_index(rest, ["_k", group], out="_r2", known_rows=n_groups - n_test).select(group, "_r2")
     assign = join_null_safe(g1, g2, [group], "left").select(
         group,
         F.when(F.col("_r1") < n_test, F.lit("test")).when(F.col("_r2") < n_val, F.lit("val"))
