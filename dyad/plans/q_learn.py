@@ -167,22 +167,46 @@ def metrics_rows(pred: DataFrame, by: str) -> DataFrame:
     return evaluate(pred, "label", "prediction", by=by, metrics=("rmse", "mae", "spearman", "pearson", "n"))
 
 
+#: patience of the registered fit (the library's default is the reference's 200); its most rounds are the reference's 5000
+GBT_PATIENCE = 10
+GBT_PARAMS = {"maxDepth": 3, "stepSize": 0.3}
+
+
+def boosted(spark: SparkSession, sf_dir: str):
+    from dyad.operators.staged import MAX_ROUNDS, fit_with_patience
+
+    tf = training_frame(spark, sf_dir)
+    fit_rows = tf.filter(F.col("split").isin("train", "val")).withColumn("is_val", F.col("split") == "val")
+    return tf, fit_with_patience(fit_rows, "is_val", GBT_PARAMS, MAX_ROUNDS, GBT_PATIENCE)
+
+
 @register("gbt_early_stop")
 def q_gbt_early_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """T1 + T9: boosted trees trained on train with early stopping on val, scored on every split."""
-    tf = training_frame(spark, sf_dir).withColumn("is_val", F.col("split") == "val")
-    est = learn.gbt({"maxIter": 10, "maxDepth": 3, "stepSize": 0.2, "validationTol": 0.001}, validation="is_val")
-    model = learn.fit_on_split(tf, est, train=("train", "val"))
-    return metrics_rows(learn.score(model, tf), "split")
+    """T1 + T9: boosted trees trained on train, stopped by patience on val, scored on every split."""
+    tf, model = boosted(spark, sf_dir)
+    return metrics_rows(model.ensemble.predict(tf), "split")
+
+
+@register("gbt_rounds")
+def q_gbt_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The validation loss after every round, and which round was best and which the stop."""
+    _, model = boosted(spark, sf_dir)
+    rows = [(i, loss, i == model.best_round, i == model.stop_round) for i, loss in enumerate(model.losses, 1)]
+    return spark.createDataFrame(rows, "round int, loss double, is_best boolean, is_stop boolean")
+
+
+#: rounds and trials of the boosted searches (README: times)
+SEARCH_ROUNDS = 5
+SEARCH_TRIALS = 3
 
 
 @register("gbt_cv")
 def q_gbt_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T2 + T5: group 5-fold CV over sampled trials; mean fold RMSE per trial."""
     tf = training_frame(spark, sf_dir, with_folds=True)
-    est = learn.gbt({"maxIter": 5, "maxDepth": 3})
+    est = learn.gbt({"maxIter": SEARCH_ROUNDS, "maxDepth": 3})
     grid_space = [learn.Param("stepSize", "logfloat", 0.05, 0.5), learn.Param("maxDepth", "int", 2, 4)]
-    trials = learn.sample_space(spark, 3, grid_space, seed=42)
+    trials = learn.sample_space(spark, SEARCH_TRIALS, grid_space, seed=42)
     maps = learn.param_maps_from_trials(trials, est, {"stepSize": "stepSize", "maxDepth": "maxDepth"})
     _, avg = learn.cross_validate(tf, est, maps, "fold", parallelism=3)
     rows = [(i, float(v)) for i, v in enumerate(avg)]
@@ -195,15 +219,15 @@ def q_refit_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     count -> test metrics once."""
     tf = training_frame(spark, sf_dir)
     space = [learn.Param("stepSize", "logfloat", 0.05, 0.5), learn.Param("maxDepth", "int", 2, 4)]
-    trials = learn.sample_space(spark, 3, space, seed=7).collect()
+    trials = learn.sample_space(spark, SEARCH_TRIALS, space, seed=7).collect()
     results = []
     for t in trials:
-        est = learn.gbt({"maxIter": 5, "maxDepth": int(t["maxDepth"]), "stepSize": float(t["stepSize"])})
+        est = learn.gbt({"maxIter": SEARCH_ROUNDS, "maxDepth": int(t["maxDepth"]), "stepSize": float(t["stepSize"])})
         m = learn.fit_on_split(tf, est)
         val = metrics_rows(learn.score(m, tf.filter(F.col("split") == "val")), "split").first()
         results.append((t["number"], val["rmse"], t))
     best = min(results, key=lambda r: (r[1], r[0]))[2]
-    est = learn.gbt({"maxIter": 5, "maxDepth": int(best["maxDepth"]), "stepSize": float(best["stepSize"])})
+    est = learn.gbt({"maxIter": SEARCH_ROUNDS, "maxDepth": int(best["maxDepth"]), "stepSize": float(best["stepSize"])})
     final = learn.fit_on_split(tf, est, train=("train", "val"))
     return metrics_rows(learn.score(final, tf.filter(F.col("split") == "test")), "split")
 

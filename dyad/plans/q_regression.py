@@ -10,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dyad.operators import learn, regression
+from dyad.operators.ledger import Trial, TrialLedger
 from dyad.plans.q_eval import SPLIT_SQL, rank_select
 from dyad.plans.q_learn import metrics_rows, training_frame
 from dyad.plans.registry import PAIRS_SQL, r6, register
+from dyad.session import new_table_path
 
 L2 = 0.01
 N_TRIALS = 25
@@ -128,6 +130,23 @@ def q_ridge_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("number", F.round("l2", 9).alias("l2"), "fold", r6("rmse").alias("rmse"))
 
 
+@register("trial_ledger", f"""WITH RECURSIVE {PAIRS_SQL}, {CV_SQL}
+SELECT number, 'COMPLETE' state, round(any_value(l2), 9) l2, round(avg(rmse), 6) AS value FROM cv JOIN trial USING (number) GROUP BY number""")
+def q_trial_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T5 + T6: the search as a ledger of trials, stopped half way and resumed by a second ledger on the same table."""
+    stats = regression.moments(training_frame(spark, sf_dir, with_folds=True, group="cell_id"), by="fold")
+
+    def mean_fold_rmse(params: dict[str, str]) -> float:
+        scores = regression.cross_validated_rmse(stats, float(params["l2"])).values()
+        return sum(scores) / len(scores)
+
+    path = new_table_path(spark)
+    trials = [Trial(r.number, {"l2": repr(r.l2)}) for r in learn.sample_space(spark, N_TRIALS, SPACE).orderBy("number").collect()]
+    TrialLedger(spark, path).run(trials, mean_fold_rmse, max_new=N_TRIALS // 2)
+    table = TrialLedger(spark, path).run(trials, mean_fold_rmse)
+    return table.select("number", "state", F.round(F.col("params")["l2"].cast("double"), 9).alias("l2"), r6("value").alias("value"))
+
+
 @register("ridge_refit", f"""WITH RECURSIVE {PAIRS_SQL}, {SPLIT_SRC_SQL}, {BASE_SQL}, {_trial_sql(N_TRIALS)},
  use_ AS (SELECT number m, 'train' grp, l2 FROM trial UNION ALL SELECT number + {N_TRIALS}, unnest(['train', 'val']), l2 FROM trial), {RIDGE_SQL},
  tuned AS (SELECT m, sqrt(avg(power(y - (b0 + b1 * d1 + b2 * d2), 2))) v FROM base JOIN model USING (cell_id)
