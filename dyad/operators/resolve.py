@@ -9,9 +9,9 @@ map-side, so an entity with many candidates is never one task's problem).
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dyad.functions.strings import cache_key, candidate_names
@@ -71,6 +71,30 @@ def best_match(hits: DataFrame, query: str = "query", pref: str = "pref_name", r
     )
 
 
+def search_best(queries: DataFrame, molecules: DataFrame, tokens: Callable[[Column], Column], query: str = "query",
+                pref: str = "pref_name", rank: str = "rank", cols: Sequence[str] = ("molecule_id",)) -> DataFrame:
+    """J9 with its search: :func:`best_match` over the molecules that share a token
+    (``tokens`` of the lower-cased name) with the query, without making the hits.
+
+    An index keeps the best rank of each token and of each whole name, so a word
+    that a third of all molecules share is one row, and a query meets as many rows
+    as it has tokens.  Ranks that are null come last, equal ranks go by ``cols``.
+    Queries are distinct; a null query, one without a token and one without a hit
+    have no row."""
+    keep = [*cols, pref, rank]
+    order = F.struct(F.col(rank).isNull().alias("n"), F.col(rank).alias("r"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(cols)])
+    known = molecules.select(F.struct(*keep).alias("_m"), order.alias("_o"), F.lower(pref).alias("_l"))
+    first = [F.min_by("_m", "_o").alias("_m"), F.min("_o").alias("_o")]
+    by_token = known.select("_m", "_o", F.explode(F.array_distinct(tokens(F.col("_l")))).alias("_t")).groupBy("_t").agg(*first)
+    by_name = known.filter(F.col("_l").isNotNull()).groupBy("_l").agg(F.min_by("_m", "_o").alias("_exact"))
+    asked = queries.select(query).distinct().select(query, F.lower(query).alias("_l"))
+    words = asked.select(query, "_l", F.explode(F.array_distinct(tokens(F.col("_l")))).alias("_t"))
+    found = join_small(words, by_token, "_t").groupBy(query, "_l").agg(F.min_by("_m", "_o").alias("_m"))
+    both = found.join(by_name, "_l", "left")
+    best = F.coalesce("_exact", "_m")
+    return both.select(query, *[best[c].alias(c) for c in keep], F.col("_exact").isNotNull().cast("int").alias("is_exact"))
+
+
 def structure_of(df: DataFrame, canonical: str = "canonical_smiles", alternate: str = "standard_inchi_key") -> DataFrame:
     """Canonical structure, else the alternate identifier, labelled (Q22)."""
     return df.withColumn("smiles", F.coalesce(F.col(canonical), F.col(alternate))).withColumn(

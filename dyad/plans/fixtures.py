@@ -66,6 +66,13 @@ def compounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def compounds_with_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All compounds; small parts (p_size up to 5) have no usable key: nothing joins to them."""
+    p = table(spark, sf_dir, "part")
+    key = F.when(F.col("p_size") > 5, F.col("p_partkey"))
+    return p.select(key.alias("drug_id"), F.col("p_name").alias("drug_name"), F.col("p_type").alias("smiles"))
+
+
 def screened(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Screened-compound list with synonyms: ``drug_id, drug_name, synonyms``."""
     return table(spark, sf_dir, "part").select(

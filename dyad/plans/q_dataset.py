@@ -127,7 +127,7 @@ def q_replicate_median_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
     "strict_clean",
     """SELECT l_suppkey cell_id, l_partkey drug_id, p_type smiles,
        CASE WHEN l_linestatus='F' THEN 'GDSC1' ELSE 'GDSC2' END dataset, round(ln(l_extendedprice), 6) ln_ic50
-  FROM lineitem LEFT JOIN (SELECT * FROM part WHERE p_size > 5) p ON l_partkey = p_partkey
+  FROM lineitem LEFT JOIN (SELECT *, CASE WHEN p_size > 5 THEN p_partkey END p_key FROM part) p ON l_partkey = p_key
  WHERE p_type IS NOT NULL AND l_extendedprice IS NOT NULL""",
 )
 def q_strict_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,10 +135,7 @@ def q_strict_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     from dyad.operators.clean import strict_clean
     from dyad.operators.joins import join_small
 
-    cmpd = fx.compounds(spark, sf_dir).join(
-        fx.table(spark, sf_dir, "part").filter(F.col("p_size") > 5).select(F.col("p_partkey").alias("drug_id")), "drug_id",
-        "left_semi",
-    ).select("drug_id", "smiles")
+    cmpd = fx.compounds_with_gaps(spark, sf_dir).select("drug_id", "smiles")
     resp = join_small(fx.responses(spark, sf_dir), cmpd, "drug_id", how="left")
     return strict_clean(resp).select("cell_id", "drug_id", "smiles", "dataset", r6("ln_ic50").alias("ln_ic50"))
 
@@ -164,7 +161,7 @@ def q_winsorize(spark: SparkSession, sf_dir: str) -> DataFrame:
     "WITH " + CELLS_SQL + """
 SELECT CASE WHEN l_linestatus='F' THEN 'GDSC1' ELSE 'GDSC2' END dataset, coalesce(tissue, 'none') tissue,
        count(*) n, count(p.p_type) n_with_smiles
-  FROM lineitem LEFT JOIN (SELECT * FROM part WHERE p_size > 5) p ON l_partkey = p.p_partkey
+  FROM lineitem LEFT JOIN (SELECT *, CASE WHEN p_size > 5 THEN p_partkey END p_key FROM part) p ON l_partkey = p_key
   LEFT JOIN cells ON l_suppkey = cells.cell_id
  GROUP BY 1, 2""",
 )
@@ -172,38 +169,36 @@ def q_left_join_dims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J1 + J2: left joins to both dimensions (size-checked broadcast), rows kept when unmatched."""
     from dyad.plans.dataset import attach_dimensions
 
-    cmpd = fx.compounds(spark, sf_dir).join(
-        fx.table(spark, sf_dir, "part").filter(F.col("p_size") > 5).select(F.col("p_partkey").alias("drug_id")), "drug_id",
-        "left_semi",
-    )
-    joined = attach_dimensions(fx.responses(spark, sf_dir), cmpd, fx.cells(spark, sf_dir))
+    joined = attach_dimensions(fx.responses(spark, sf_dir), fx.compounds_with_gaps(spark, sf_dir), fx.cells(spark, sf_dir))
     return joined.groupBy("dataset", F.coalesce("tissue", F.lit("none")).alias("tissue")).agg(
         F.count(F.lit(1)).alias("n"), F.count("smiles").alias("n_with_smiles")
     )
 
 
-SCORES_SQL = """scores AS (SELECT vec_id cell_id, embedding[1] pc1, embedding[2] pc2 FROM embeddings)"""
+SCORES_SQL = """scores AS (SELECT vec_id cell_id, embedding::DOUBLE[] pcs FROM embeddings)"""
 
 
 def scores_df(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = fx.table(spark, sf_dir, "embeddings")
-    return e.select(F.col("vec_id").alias("cell_id"), F.element_at("embedding", 1).alias("pc1"),
-                    F.element_at("embedding", 2).alias("pc2"))
+    return e.select(F.col("vec_id").alias("cell_id"), F.col("embedding").cast("array<double>").alias("pcs"))
 
 
 @register(
     "inner_join_scores",
-    f"""WITH {PAIRS_SQL}, {SCORES_SQL}
-SELECT cell_id, drug_id, dataset, round(ln_ic50, 6) ln_ic50, round(pc1, 6) pc1, round(pc2, 6) pc2
-  FROM pairs JOIN scores USING (cell_id)""",
+    f"""WITH {PAIRS_SQL}, {SCORES_SQL},
+ digest AS (SELECT cell_id, len(pcs) k, round(list_sum([abs(x) FOR x IN pcs]), 6) norm1,
+                   round(list_sum(list_transform(pcs, lambda x, i: x * i)), 6) by_place FROM scores)
+SELECT cell_id, drug_id, dataset, round(ln_ic50, 6) ln_ic50, k, norm1, by_place FROM pairs JOIN digest USING (cell_id)""",
 )
 def q_inner_join_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs without a score row drop out."""
+    """Pairs without a score row drop out; every component is joined (told by
+    their count, the sum of their sizes and their sum weighted by place)."""
     from dyad.plans.dataset import merge_scores
 
     m = merge_scores(pairs_df(spark, sf_dir), scores_df(spark, sf_dir))
-    return m.select("cell_id", "drug_id", "dataset", r6("ln_ic50").alias("ln_ic50"), r6("pc1").alias("pc1"),
-                    r6("pc2").alias("pc2"))
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda t, x: t + x)
+    return m.select("cell_id", "drug_id", "dataset", r6("ln_ic50").alias("ln_ic50"), F.size("pcs").cast("long").alias("k"),
+                    r6(total(F.transform("pcs", F.abs))).alias("norm1"), r6(total(F.transform("pcs", lambda x, i: x * (i + 1)))).alias("by_place"))
 
 
 @register(

@@ -140,17 +140,14 @@ def q_subsample(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("coverage", "WITH " + CELLS_SQL + """
 SELECT round(avg(CASE WHEN coalesce(p.p_type, '') <> '' THEN 1.0 ELSE 0.0 END), 6) smiles_coverage,
        round(avg(CASE WHEN coalesce(tissue, 'unknown') <> 'unknown' THEN 1.0 ELSE 0.0 END), 6) tissue_coverage
-  FROM lineitem LEFT JOIN (SELECT * FROM part WHERE p_size > 5) p ON l_partkey = p.p_partkey
+  FROM lineitem LEFT JOIN (SELECT *, CASE WHEN p_size > 5 THEN p_partkey END p_key FROM part) p ON l_partkey = p_key
   LEFT JOIN cells ON l_suppkey = cells.cell_id""")
 def q_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A10: share of rows with a structure and with a known tissue."""
     from dyad.operators.profile import coverage
     from dyad.plans.dataset import attach_dimensions
 
-    cmpd = fx.compounds(spark, sf_dir).join(
-        fx.table(spark, sf_dir, "part").filter(F.col("p_size") > 5).select(F.col("p_partkey").alias("drug_id")),
-        "drug_id", "left_semi")
-    j = attach_dimensions(fx.responses(spark, sf_dir), cmpd, fx.cells(spark, sf_dir))
+    j = attach_dimensions(fx.responses(spark, sf_dir), fx.compounds_with_gaps(spark, sf_dir), fx.cells(spark, sf_dir))
     cov = coverage(j, {"smiles_coverage": F.coalesce("smiles", F.lit("")) != "",
                        "tissue_coverage": F.coalesce("tissue", F.lit("unknown")) != "unknown"})
     return cov.select(*[r6(c).alias(c) for c in cov.columns])

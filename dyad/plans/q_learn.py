@@ -2,7 +2,7 @@
 
 Metric histories and trials come from ``events``: run = user_id, epoch = the
 event's 1-based position in ``(ts, event_id)`` order within the run, score =
-value; trials are the ``purchase`` events numbered in ``(ts, event_id)`` order,
+value; trials are all events numbered in ``(ts, event_id)`` order,
 value = value, started at ts and finished ``value`` seconds later, with the
 categorical parameter ``props.k mod 3``.
 """
@@ -40,7 +40,7 @@ HIST_SQL = """h AS (SELECT user_id run, row_number() OVER (PARTITION BY user_id
 TRIALS_SQL = """trials AS (SELECT row_number() OVER (ORDER BY ts, event_id) - 1 number, value, ts datetime_start,
        make_timestamp(epoch_us(ts) + CAST(round(value * 1e6) AS BIGINT)) datetime_complete,
        CAST(json_extract(props, '$.k') AS INTEGER) % 3 cat
-  FROM events WHERE event_type = 'purchase')"""
+  FROM events)"""
 
 
 def history_df(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,7 +50,7 @@ def history_df(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def trials_df(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = fx.table(spark, sf_dir, "events").filter(F.col("event_type") == "purchase")
+    ev = fx.table(spark, sf_dir, "events")
     ev = ev.withColumn("ts", F.col("ts").cast("timestamp"))
     t = dense_index(ev.select("ts", "event_id", "value", "props"), ["ts", "event_id"], out="number")
     return t.select(
@@ -128,12 +128,7 @@ def _hidden(i: int) -> str:
 def q_sample_space(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T4: seeded draws of the search space (float, log-float, int, log-int,
     categorical, conditional) for every trial."""
-    from functools import reduce
-
-    trials = trials_df(spark, sf_dir).select("number")
-    drawn = reduce(lambda df, p: df.withColumn(
-        p.name, (F.when(F.col(p.parent) >= p.min_parent, learn._draw(p, learn.uniform(42, F.col("number"), p.name)))
-                 if p.parent else learn._draw(p, learn.uniform(42, F.col("number"), p.name)))), SPACE, trials)
+    drawn = learn.draw(trials_df(spark, sf_dir).select("number"), SPACE, seed=42)
     hidden = [F.col(f"hidden_{i}").cast("double").alias(f"hidden_{i}") for i in range(3)]
     return drawn.select("number", "n_layers", *hidden, r6("dropout").alias("dropout"),
                         F.round("lr", 9).alias("lr"), F.round("weight_decay", 12).alias("weight_decay"),

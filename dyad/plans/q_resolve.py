@@ -1,8 +1,8 @@
 """Resolution and lookup queries.
 
 The dictionary stands in for the name services' answers: one entry per
-``(name_key, source)`` from ``part`` names (``p_size > 5``; ChEMBL when
-``p_size`` is even, else PubChem; negative when any size is a multiple of 5)
+``(name_key, source)`` from ``part`` names (ChEMBL when ``p_size`` is even,
+else PubChem; negative when any size is a multiple of 5 or at most 5)
 and one PubChem entry per brand (negative for brand numbers up to 12).
 """
 
@@ -18,8 +18,8 @@ from dyad.plans.registry import PAIRS_SQL, pairs_df, r6, register
 DICT_SQL = """dict AS (
   SELECT 'name::' || lower(p_name) name_key, CASE WHEN p_size % 2 = 0 THEN 'ChEMBL' ELSE 'PubChem' END source,
          min('CHEMBL' || CAST(p_partkey AS VARCHAR)) chembl_id, min(p_type || ':' || CAST(p_partkey AS VARCHAR)) smiles,
-         bool_or(p_size % 5 = 0) is_negative
-    FROM part WHERE p_size > 5 GROUP BY 1, 2
+         bool_or(p_size % 5 = 0 OR p_size <= 5) is_negative
+    FROM part GROUP BY 1, 2
   UNION ALL
   SELECT 'name::' || lower(p_brand), 'PubChem', NULL, min('BRAND:' || p_brand),
          bool_or(TRY_CAST(substr(p_brand, 7) AS INTEGER) <= 12)
@@ -35,13 +35,13 @@ CAND_SQL = r"""cand AS (
 
 def dictionary_df(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = fx.table(spark, sf_dir, "part")
-    names = p.filter(F.col("p_size") > 5).groupBy(
+    names = p.groupBy(
         cache_key("p_name").alias("name_key"),
         F.when(F.col("p_size") % 2 == 0, F.lit("ChEMBL")).otherwise(F.lit("PubChem")).alias("source"),
     ).agg(
         F.min(F.concat(F.lit("CHEMBL"), F.col("p_partkey").cast("string"))).alias("chembl_id"),
         F.min(F.concat("p_type", F.lit(":"), F.col("p_partkey").cast("string"))).alias("smiles"),
-        F.bool_or(F.col("p_size") % 5 == 0).alias("is_negative"),
+        F.bool_or((F.col("p_size") % 5 == 0) | (F.col("p_size") <= 5)).alias("is_negative"),
     )
     brands = p.groupBy(cache_key("p_brand").alias("name_key")).agg(
         F.min(F.concat(F.lit("BRAND:"), "p_brand")).alias("smiles"),
@@ -96,26 +96,23 @@ def q_unmatched_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "best_match",
-    """WITH q AS (SELECT DISTINCT p_name query FROM part WHERE p_size <= 5),
+    """WITH q AS (SELECT DISTINCT CASE WHEN p_size > 5 THEN p_name || ' salt' ELSE p_name END query FROM part),
  hits AS (SELECT q.query, p.p_partkey molecule_id, p.p_name pref_name, p.p_partkey rank
-            FROM q JOIN part p ON split_part(p.p_name, ' ', 2) = split_part(q.query, ' ', 2) WHERE p.p_size > 5),
+            FROM q JOIN part p ON split_part(p.p_name, ' ', 2) = split_part(q.query, ' ', 2)),
  o AS (SELECT *, CAST(lower(pref_name) = lower(query) AS INTEGER) is_exact,
               row_number() OVER (PARTITION BY query ORDER BY CAST(lower(pref_name) = lower(query) AS INTEGER) DESC, rank) rn
          FROM hits)
 SELECT query, molecule_id, pref_name, rank, is_exact FROM o WHERE rn = 1""",
 )
 def q_best_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exact preferred-name match first, else best search rank."""
-    from dyad.operators.resolve import best_match
+    """Every part name is searched among all parts that share its second
+    word: exact preferred name first, else the best search rank."""
+    from dyad.operators.resolve import search_best
 
     p = fx.table(spark, sf_dir, "part")
-    queries = p.filter(F.col("p_size") <= 5).select(F.col("p_name").alias("query")).distinct()
-    cands = p.filter(F.col("p_size") > 5).select(
-        F.col("p_partkey").alias("molecule_id"), F.col("p_name").alias("pref_name"), F.col("p_partkey").alias("rank"),
-        F.element_at(F.split("p_name", " "), 2).alias("_noun"),
-    )
-    hits = queries.withColumn("_noun", F.element_at(F.split("query", " "), 2)).join(cands, "_noun").drop("_noun")
-    return best_match(hits)
+    queries = p.select(F.when(F.col("p_size") > 5, F.concat("p_name", F.lit(" salt"))).otherwise(F.col("p_name")).alias("query"))
+    molecules = p.select(F.col("p_partkey").alias("molecule_id"), F.col("p_name").alias("pref_name"), F.col("p_partkey").alias("rank"))
+    return search_best(queries, molecules, lambda name: F.slice(F.split(name, " "), 2, 1))
 
 
 @register(
@@ -155,8 +152,8 @@ def q_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(
     "cache_upsert",
     f"""WITH {DICT_SQL},
- new AS (SELECT 'name::' || lower(p_name) name_key, 'PubChem' source, NULL chembl_id,
-                min('NEW:' || p_type) smiles, false is_negative FROM part WHERE p_size > 45 GROUP BY 1)
+ new AS (SELECT 'name::' || lower(CASE WHEN p_size > 45 THEN p_name ELSE 'alt ' || p_name END) name_key, 'PubChem' source, NULL chembl_id,
+                min('NEW:' || p_type) smiles, false is_negative FROM part GROUP BY 1)
 SELECT name_key, source, chembl_id, smiles, CAST(is_negative AS INTEGER) is_negative
   FROM dict WHERE name_key NOT IN (SELECT name_key FROM new)
 UNION ALL SELECT name_key, source, chembl_id, smiles, CAST(is_negative AS INTEGER) FROM new""",
@@ -166,7 +163,8 @@ def q_cache_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     from dyad.operators.resolve import upsert_cache
 
     p = fx.table(spark, sf_dir, "part")
-    new = p.filter(F.col("p_size") > 45).groupBy(cache_key("p_name").alias("name_key")).agg(
+    named = p.withColumn("name", F.when(F.col("p_size") > 45, F.col("p_name")).otherwise(F.concat(F.lit("alt "), "p_name")))
+    new = named.groupBy(cache_key("name").alias("name_key")).agg(
         F.min(F.concat(F.lit("NEW:"), "p_type")).alias("smiles")
     ).select("name_key", F.lit("PubChem").alias("source"), F.lit(None).cast("string").alias("chembl_id"), "smiles",
              F.lit(False).alias("is_negative"))
