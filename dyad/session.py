@@ -11,6 +11,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -62,8 +63,10 @@ def _is_local(master: str) -> bool:
     return master == "local" or master.startswith("local[")
 
 
-#: open scopes of :func:`scratch`, innermost last; the first holds what no scope owns
-_SCOPES: list[dict[str, SparkSession]] = [{}]
+#: open scopes of :func:`scratch` in this thread (or context), innermost last
+_SCOPES: ContextVar[tuple[dict[str, SparkSession], ...]] = ContextVar("dyad_scopes", default=())
+#: tables that no scope owns
+_LOOSE: dict[str, SparkSession] = {}
 
 
 def _remove(spark: SparkSession, path: str) -> None:
@@ -74,41 +77,45 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 
 def release_tables() -> None:
-    """Delete every table that :func:`cut_lineage` wrote and no open scope
-    owns.  Call it when no frame that reads them is used any more."""
-    while _SCOPES[0]:
-        path, spark = _SCOPES[0].popitem()
+    """Delete every table that :func:`cut_lineage` wrote outside a scope, in any
+    thread.  Call it when no frame that reads them is used any more."""
+    while _LOOSE:
+        path, spark = _LOOSE.popitem()
         _remove(spark, path)
 
 
 class scratch:
     """Scope for intermediate tables: on exit, tables cut inside it are deleted
     except those handed to :meth:`keep`, which pass to the enclosing scope.
+    Scopes belong to the thread that opened them; other threads' tables are not touched.
 
     ``with scratch() as s: ...; return s.keep(cut_lineage(df))``"""
 
     def __enter__(self) -> scratch:
         self._own: dict[str, SparkSession] = {}
-        _SCOPES.append(self._own)
+        open_scopes = _SCOPES.get()
+        self._outer = open_scopes[-1] if open_scopes else _LOOSE
+        self._token = _SCOPES.set((*open_scopes, self._own))
         return self
 
     def keep(self, df: DataFrame) -> DataFrame:
         path = getattr(df, "_table_path", None)
         if path not in self._own:
             raise ValueError("keep() takes a frame that cut_lineage() returned in this scope")
-        _SCOPES[next(i for i, s in enumerate(_SCOPES) if s is self._own) - 1][path] = self._own.pop(path)
+        self._outer[path] = self._own.pop(path)
         return df
 
     def __exit__(self, *exc) -> None:
-        _SCOPES[:] = [s for s in _SCOPES if s is not self._own]
+        _SCOPES.reset(self._token)
         for path, spark in self._own.items():
             _remove(spark, path)
 
 
 def new_table_path(spark: SparkSession) -> str:
-    """A fresh folder under the shared checkpoint directory, owned by the innermost scope."""
+    """A fresh folder under the shared checkpoint directory, owned by this thread's innermost scope."""
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
-    _SCOPES[-1][path] = spark
+    open_scopes = _SCOPES.get()
+    (open_scopes[-1] if open_scopes else _LOOSE)[path] = spark
     return path
 
 
