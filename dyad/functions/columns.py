@@ -4,7 +4,7 @@ pruning still applies."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,23 +30,17 @@ def ci_select(df: DataFrame, wanted: Sequence[str], names: Sequence[str] | None
 def first_header(
     columns: Iterable[str],
     candidates: Sequence[str] = (),
-    predicate: Callable[[str], bool] | None = None,
     required: bool = True,
     what: str = "column",
 ) -> str | None:
-    """First header matching an ordered candidate list, else the first whose
-    normalised name satisfies ``predicate`` (P2).  ``KeyError`` when required."""
+    """First header matching an ordered candidate list (P2).  ``KeyError`` when required."""
     cols = list(columns)
     m = ci_map(cols)
     for cand in candidates:
         if cand in m:
             return m[cand]
-    if predicate is not None:
-        for key, orig in m.items():
-            if predicate(key):
-                return orig
     if required:
-        raise KeyError(f"No {what} found. Got: {cols}")
+        raise KeyError(f"none of the headers {cols} is a {what}")
     return None
 
 
@@ -59,7 +53,7 @@ def prefix_columns(df: DataFrame, prefix: str) -> list[str]:
     """Columns starting with ``prefix`` in table order; error if none."""
     cols = [c for c in df.columns if c.startswith(prefix)]
     if not cols:
-        raise RuntimeError(f"No {prefix}* columns found in the data.")
+        raise RuntimeError(f"the table has no column that begins with {prefix!r}")
     return cols
 
 

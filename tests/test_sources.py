@@ -89,3 +89,46 @@ def test_writer_round_trips(spark):
     meta = spark.read.json(f"{d}/model/meta").first()["params"]
     assert meta["input_dim"] == "1"
     assert params_frame(spark, {"a": 1}).count() == 1
+
+
+def test_archives_are_told_by_content_and_read_member_by_member(spark, monkeypatch):
+    from dyad.sources import readers
+
+    monkeypatch.setattr(readers, "CHUNK_CELLS", 8)  # two rows a chunk
+    d = tempfile.mkdtemp(dir="/tmp")
+    table = lambda tag: "GENE_SYMBOLS\tGENE_title\tDATA.1\tDATA.2\n" + "".join(f"{tag}{i}\tt\t{i}\tbad\n" for i in range(7))
+    named_text = os.path.join(d, "expr.txt")  # an archive without the name of one
+    with zipfile.ZipFile(named_text, "w", zipfile.ZIP_DEFLATED) as zf:
+        zf.writestr("a.tsv", table("a"))
+        zf.writestr("folder/", "")
+        zf.writestr("folder/b.tsv", table("b"))
+        zf.writestr("empty.tsv", "")
+    named_zip = os.path.join(d, "plain.zip")  # a text with the name of an archive
+    _write(named_zip, table("c"))
+    want = lambda *tags: sorted((c, f"{t}{i}", float(i) if c == "1" else None) for t in tags for i in range(7) for c in "12")
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    archive = read_matrix(spark, named_text)
+    assert rows(archive) == want("a", "b") and archive.rdd.getNumPartitions() >= 2
+    assert rows(read_matrix(spark, named_zip)) == want("c")
+    assert rows(read_matrix(spark, os.path.join(d, "plain"))) == want("c")
+    assert rows(read_matrix(spark, d)) == want("a", "b", "c") and rows(read_matrix(spark, f"{d}/*.txt")) == want("a", "b")
+    with zipfile.ZipFile(os.path.join(d, "none.txt"), "w"):
+        pass
+    assert read_matrix(spark, os.path.join(d, "none.txt")).count() == 0
+    with pytest.raises(FileNotFoundError):
+        read_matrix(spark, os.path.join(d, "absent"))
+
+
+def test_descriptor_columns():
+    from dyad.sources.readers import descriptor_columns
+
+    assert descriptor_columns(["GDSC Tissue descriptor 2", "x", "GDSC\nTissue Descriptor"]) == ["GDSC\nTissue Descriptor", "GDSC Tissue descriptor 2"]
+    assert descriptor_columns(["gdsc2 tissue descriptor"]) == ["gdsc2 tissue descriptor"] * 2
+    assert descriptor_columns(["tissue descriptor 1", "gdsc tissue 1"]) == [None, None]
+
+
+def test_bad_ids_are_null_not_a_failed_job(spark):
+    d = tempfile.mkdtemp(dir="/tmp")
+    p = os.path.join(d, "r.csv")
+    _write(p, "CELL_LINE_NAME,COSMIC_ID,DRUG_ID,DRUG_NAME,LN_IC50\nA,one,10,x,0.5\nB,2,,y,1.5\n")
+    assert [(r.COSMIC_ID, r.DRUG_ID) for r in load_responses(spark, p, "G").orderBy("CELL_LINE_NAME").collect()] == [(None, 10), (2, None)]
