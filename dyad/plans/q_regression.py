@@ -14,7 +14,7 @@ from dyad.operators.ledger import Trial, TrialLedger
 from dyad.plans.q_eval import SPLIT_SQL, rank_select
 from dyad.plans.q_learn import metrics_rows, training_frame
 from dyad.plans.registry import PAIRS_SQL, r6, register
-from dyad.session import new_table_path
+from dyad.session import cut_lineage, new_table_path
 
 L2 = 0.01
 N_TRIALS = 25
@@ -163,3 +163,30 @@ def q_ridge_refit(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, _, l2 = min((held.squared_error(regression.fit_groups(stats, ["train"], l2)), number, l2) for number, l2 in trials)
     model = regression.fit_groups(stats, ["train", "val"], l2)
     return _rounded(metrics_rows(regression.predict(tf.filter("split = 'test'"), model), "split"))
+
+
+CLIP = (0.01, 0.99)
+
+
+@register("saved_scores", f"""WITH RECURSIVE {PAIRS_SQL}, {SPLIT_SRC_SQL},
+ raw_base AS (SELECT s.cell_id, s.drug_id, s.dataset, s.tissue, s.grp, s.ln_ic50 y0, p_size::DOUBLE d1, p_retailprice::DOUBLE d2
+                FROM src s JOIN part ON p_partkey = s.drug_id JOIN embeddings ON vec_id = s.cell_id),
+ lim AS (SELECT quantile_cont(y0, {CLIP[0]}) lo, quantile_cont(y0, {CLIP[1]}) hi FROM raw_base WHERE grp = 'train'),
+ base AS (SELECT raw_base.*, least(greatest(y0, lo), hi) y FROM raw_base CROSS JOIN lim),
+ use_ AS (SELECT 'fit' m, 'train' grp, {L2}::DOUBLE l2), {RIDGE_SQL},
+ pred AS (SELECT grp split, y0 y, least(greatest(b0 + b1 * d1 + b2 * d2, lo), hi) pred
+            FROM base JOIN model USING (cell_id) CROSS JOIN lim WHERE grp <> 'train')
+SELECT split, {METRIC_SQL} FROM ({rank_select('pred', 'split', 'y', 'pred')}) GROUP BY split""")
+def q_saved_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S16 + T9: a pipeline fitted on train is saved, loaded and scores val and test."""
+    from dyad.operators.scoring import ScoringPipeline, fit_pipeline
+    from dyad.plans import fixtures as fx
+    from dyad.plans.q_eval import split_df
+
+    cells = fx.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("cell_id"), "embedding")
+    drugs = fx.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("drug_id"), "p_size", "p_retailprice")
+    rows = cut_lineage(split_df(spark, sf_dir).join(cells, "cell_id").join(drugs, "drug_id"))
+    path = new_table_path(spark)
+    fit_pipeline(rows.filter("split = 'train'"), "embedding", "ln_ic50", ["p_size", "p_retailprice"], "tissue", L2, *CLIP).save(spark, path)
+    scored = ScoringPipeline.load(spark, path).score(rows.filter("split <> 'train'"))
+    return _rounded(metrics_rows(scored.withColumnRenamed("ln_ic50", "label"), "split"))
