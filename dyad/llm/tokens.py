@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -59,7 +60,7 @@ class ChunkEncoder:
         self._cache: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """``(ids, lengths)``: the concatenated ids of the texts (null: none) and each text's number of ids."""
@@ -87,7 +88,7 @@ class ChunkEncoder:
         coded = parts.flatten().dictionary_encode()
         at = coded.indices.to_numpy()
         first = offsets[:-1]  # a text's first chunk has no space before it
-        ids, lengths = self._chunks([self._space + c for c in coded.dictionary.to_pylist()])
+        ids, lengths = self._chunks(pc.binary_join_element_wise(self._space, coded.dictionary, "").to_pylist())
         starts = np.cumsum(lengths) - lengths
         heads, head_lengths = self._chunks(coded.dictionary.take(pa.array(at[first])).to_pylist())
         piece_lengths = lengths[at]
@@ -101,10 +102,14 @@ class ChunkEncoder:
     def _chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         cache = self._cache
         new = [c for c in dict.fromkeys(chunks) if c not in cache]
-        own = dict(zip(new, self._encode(new)))
-        found = [cache[c] if c in cache else own[c] for c in chunks]
-        for c in new[: max(CACHE_CHUNKS - len(cache), 0)]:
-            cache[c] = own[c]
+        made = self._encode(new)
+        room = max(CACHE_CHUNKS - len(cache), 0)
+        cache.update(zip(new[:room], made))
+        if len(new) <= room:
+            found = list(map(cache.__getitem__, chunks))
+        else:
+            rest = dict(zip(new[room:], made[room:]))
+            found = [cache[c] if c in cache else rest[c] for c in chunks]
         lengths = np.fromiter(map(len, found), np.int64, len(found)) // 4
         return np.frombuffer(b"".join(found), "<u4"), lengths
 
