@@ -5,12 +5,16 @@ along the widest of its metadata dimensions, until it holds the target bytes.
 All nodes of a level are split together.  A median is found by refining
 histograms: a few aggregations over the metadata table, each leaving at most
 nodes x ``BINS`` rows, narrow every node's interval to one value; rows of that
-value are split by document id in the same way, so a hot value (a source with
-a third of the rows) does not unbalance a split.
+value are split by their place in the order of document ids in the same way, so a
+hot value (a source with a third of the rows) does not unbalance a split.  Places
+are gapless and every row has its own, so rows without an id, many rows of one id
+and ids of any size are split as evenly as others.
 
 Null texts have size 1 (0 bytes plus 1) and crc32 0 as the empty text has; null
-metadata is a value of its own below all others.  Rows equal in the chosen
-dimension and in ``doc_id`` stay together.  Ids must lie within +-2^61."""
+metadata is a value of its own below all others, null ids come first.  Equal texts
+may lie in different shards.  An empty table gives an empty table.  Texts of any
+length are one row's size.  Only ``doc_id, text, source, lang, n_chars`` are read,
+so the names of other columns can't clash."""
 
 from __future__ import annotations
 
@@ -20,9 +24,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dyad.llm.common import numbered
+from dyad.operators.order import dense_index, with_row_id
 from dyad.session import cut_lineage, scratch
 
-BINS = 4096
+BINS = 65_536
 #: a node this much over the target (as a share of it) still is a leaf: splits are exact only up to a row
 TOLERANCE = 0.05
 
@@ -33,15 +38,19 @@ def code(column: str) -> Column:
 
 
 def metadata(docs: DataFrame) -> tuple[DataFrame, list[str]]:
-    """``doc_id, size, text_crc32`` and the dimensions of every document."""
+    """``doc_id, size, text_crc32`` and the dimensions of every document; the
+    last, ``tie``, is its place in the order of ids and is unique."""
     raw = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
-    return docs.select(
+    far = 1 << 61  # differences of clamped values fit a long
+    chars = F.greatest(F.least(F.col("n_chars").cast("long"), F.lit(far)), F.lit(-far))
+    rows = docs.select(
         "doc_id",
         (F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1).alias("size"),
         F.crc32(raw).alias("text_crc32"),
-        code("source").alias("d0"), code("lang").alias("d1"), F.coalesce(F.col("n_chars").cast("long"), F.lit(-1)).alias("d2"),
-        F.coalesce(F.col("doc_id"), F.lit(-(1 << 61))).alias("tie"),
-    ), ["d0", "d1", "d2", "tie"]
+        code("source").alias("d0"), code("lang").alias("d1"), F.coalesce(chars, F.lit(-1)).alias("d2"),
+    )
+    numbers = with_row_id(rows, "_row")
+    return dense_index(numbers, ["doc_id", "_row"], out="tie").drop("_row"), ["d0", "d1", "d2", "tie"]
 
 
 def kd_leaves(rows: DataFrame, dims: Sequence[str], target: int, max_depth: int) -> DataFrame:

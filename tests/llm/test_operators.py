@@ -228,6 +228,16 @@ def test_sharding_splits_at_weighted_medians(spark, sf_dir):
     assert got == node
 
 
+def test_sharding_of_null_repeated_and_very_large_ids(spark):
+    for ids in ([None] * 400, [7] * 400, [2**63 - 1 - i if i % 2 else -(2**63) + i for i in range(400)]):
+        rows = [(i, "x" * 50, "en", "s", 50, "clash") for i in ids]
+        frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, tie string")
+        sizes = {}
+        for r in kd_shards.shard_documents(frame).collect():
+            sizes[r.shard] = sizes.get(r.shard, 0) + r.size
+        assert len(sizes) == 16 and max(sizes.values()) - min(sizes.values()) <= 51
+
+
 def slow_ids(text):
     from tokenizers import Tokenizer
 
