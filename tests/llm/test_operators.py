@@ -414,6 +414,54 @@ def test_stretches_hold_every_equal_run():
     assert s <= 60 and e >= 115 and (t, f) == (s, e) and identity >= 0.8 and equal == (a[s:e] == b[s:e]).sum()
 
 
+def test_runs_align_alike_one_by_one_and_together():
+    r = np.random.default_rng(3)
+    a_n, b_n, rows = [], [], []
+    for _ in range(400):
+        n, before, other = int(r.integers(5, 80)), int(r.integers(0, 46)), int(r.integers(0, 46))
+        a = r.integers(0, 1000, before + n + int(r.integers(0, 46))).astype(np.uint32)
+        b = r.integers(1000, 2000, other + n + int(r.integers(0, 46))).astype(np.uint32)
+        both, after = min(before, other), min(len(a) - before, len(b) - other)
+        keep = r.random(both + after) < r.choice([0.6, 0.85, 1.0])
+        keep[both : both + 5] = True
+        b[other - both : other + after] = np.where(keep, a[before - both : before + after], b[other - both : other + after])
+        rows.append((a, b, before, other, n))
+    a_n, b_n = (np.array([len(row[i]) for row in rows]) for i in (0, 1))
+    x, y, n = (np.array([row[i] for row in rows]) for i in (2, 3, 4))
+    which, found = chaining.align_runs(
+        np.concatenate([row[0] for row in rows]), np.concatenate([row[1] for row in rows]),
+        np.cumsum(a_n) - a_n, np.cumsum(b_n) - b_n, a_n, b_n, x, y, n)
+    want = [(i, p) for i, (a, b, p, q, n) in enumerate(rows) for p in chaining.align(a, b, [(p, q, n)])]
+    assert sorted(zip(which.tolist(), found)) == want and len(want) > 100
+
+
+def test_packed_seeds_come_back():
+    r = np.random.default_rng(5)
+    n = 1000
+    rows = chaining.Seeds(np.sort(r.integers(0, 1 << 40, n).astype(np.uint64)), r.integers(-(1 << 62), 1 << 62, n), r.integers(0, 1 << 28, n),
+                          r.choice([chaining.K, chaining.LONG, chaining.MIN_WORDS], n), r.random(n) < 0.5)
+    back = chaining.unpack(chaining.pack(rows))
+    assert all((getattr(back, c) == getattr(rows, c)).all() for c in ("h", "doc", "at", "size", "anchor"))
+
+
+def test_links_join_repeats_of_different_documents_only():
+    seeds = [(5, 1, 0), (5, 1, 9), (5, 3, 4), (5, 7, 2), (6, 2, 0), (6, 2, 8), (7, 4, 1)]
+    h, doc, at = (np.array(c) for c in zip(*seeds))
+    rows = chaining.Seeds(h.astype(np.uint64), doc, at, np.full(7, 5), np.array([True, False, True, True, True, False, True]))
+    assert rows.repeated().tolist() == [True] * 4 + [False] * 3
+    (x, y, px, py, _), ends = chaining.links(rows.take(np.flatnonzero(rows.repeated())), True)
+    assert sorted(zip(x.tolist(), y.tolist(), px.tolist(), py.tolist())) == [(3, 1, 4, 0), (7, 1, 2, 0), (7, 3, 2, 4)]
+    assert ends.doc.tolist() == [1, 7]
+
+
+def test_copies_and_clashing_columns(spark):
+    p, q = words(70, 81), words(60, 82)
+    rows = [(5, " ".join(p), 1), (9, " ".join(p), 1), (9, " ".join(p), 1), (7, " ".join(q + p[:55]), 2), (8, "short copy", 1), (3, "short copy", 1), (None, " ".join(p), 1), (4, None, 1)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, other long")
+    got = {(r.doc_id, r.other_id, r.start, r.stop) for r in chaining.shared_passages(d).collect()}
+    assert got == {(9, 5, 0, 70), (7, 5, 60, 115)}
+
+
 def test_gap_columns():
     a, b = np.array([1, 2, 3, 4]), np.array([1, 9, 3])
     assert chaining.gap_columns(a, b) == (4, 2) and chaining.gap_columns(a, a[:0]) == (4, 0) and chaining.gap_columns(a, a) == (4, 4)
