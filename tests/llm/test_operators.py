@@ -451,7 +451,7 @@ def test_links_join_repeats_of_different_documents_only():
     assert rows.repeated().tolist() == [True] * 4 + [False] * 3
     (x, y, px, py, _), ends = chaining.links(rows.take(np.flatnonzero(rows.repeated())), True)
     assert sorted(zip(x.tolist(), y.tolist(), px.tolist(), py.tolist())) == [(3, 1, 4, 0), (7, 1, 2, 0), (7, 3, 2, 4)]
-    assert ends.doc.tolist() == [1, 7]
+    assert ends.doc.tolist() == [1, 3]
 
 
 def test_copies_and_clashing_columns(spark):
