@@ -41,3 +41,40 @@ def test_wl_symmetry_and_propagation(spark):
     assert v[(2, 1)][0] == 7 + 6 + 6  # own type id plus both neighbours
     pooled = {r["graph_id"]: r["pooled"] for r in gr.mean_pool(prop).collect()}
     assert len(pooled[3]) == 5
+
+
+def test_fingerprint_is_the_same_in_one_exchange_and_by_joins(spark, monkeypatch):
+    rows = [(g, i, None if (g, i) == (2, 1) else "AB"[i * g % 3 % 2]) for g in (1, 2, 3) for i in range(9 * g)] + [(None, 0, "A"), (1, 2, "B"), (3, None, "A")]
+    nodes = spark.createDataFrame(rows, "graph_id long, node_id long, atom string")
+    edges = gr.undirected(spark.createDataFrame(
+        [(g, i, (i * 5 + 1) % (9 * g)) for g in (1, 2, 3) for i in range(9 * g)] + [(None, 0, 1), (1, 3, None), (1, 2, 99), (4, 0, 1)],
+        "graph_id long, src long, dst long"))
+    bits = lambda: sorted(map(repr, map(tuple, gr.circular_fingerprint(nodes, edges, F.col("atom"), 2, 64).collect())))
+    once = bits()
+    monkeypatch.setattr(gr, "GRAPH_ROWS", 60)  # graphs 2 and 3 go by joins
+    assert bits() == once and len(once) > 20
+    monkeypatch.setattr(gr, "GRAPH_ROWS", 0)
+    assert bits() == once
+
+
+def test_ordinary_graphs_take_one_exchange_and_no_join(spark):
+    nodes, ue = graphs(spark)
+    plan = gr.circular_fingerprint(nodes, ue, F.col("atom"))._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
+    items = spark.createDataFrame([(1, 5, "A"), (1, 3, "N"), (2, 1, "R"), (None, 1, "R"), (None, 2, "R")], "g long, o long, atom string")
+    chain, edges = gr.chain_graphs(items, "g", "o", ["atom"])
+    assert "Join" not in edges._jdf.queryExecution().executedPlan().toString()
+    assert [tuple(r) for r in edges.collect()] == [(1, 0, 1)] and chain.count() == 5
+
+
+def test_token_graphs_of_single_and_repeated_rows(spark):
+    docs = spark.createDataFrame([(1, "a b a c".split()), (2, []), (3, "b b c".split()), (3, "c b d".split()), (None, ["x"]), (None, ["x", "y"])],
+                                 "graph_id long, w array<string>")
+    nodes, ue = gr.token_graphs(docs, "w")
+    names = {(r.graph_id, r.node_id): r.token for r in nodes.filter("graph_id is not null").collect()}
+    assert sorted((r.graph_id or 0, r.token) for r in nodes.collect()) == sorted(
+        [(1, "a"), (1, "b"), (1, "c"), (3, "b"), (3, "c"), (3, "b"), (3, "c"), (3, "d"), (0, "x"), (0, "x"), (0, "y")])
+    got = sorted((r.graph_id, names[r.graph_id, r.src], names[r.graph_id, r.dst]) for r in ue.filter("graph_id is not null").collect())
+    assert got == sorted((g, *e) for g, x, y in [(1, "a", "b"), (1, "a", "c"), (3, "b", "c"), (3, "b", "d")] for e in [(x, y), (y, x)])
+    plan = gr.token_graphs(docs.filter("graph_id < 3"), "w")[1]._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
