@@ -133,3 +133,21 @@ def test_hot_group_without_values_and_null_key_stay(spark):
     cold = {tuple(r) for r in group_quantiles(df, ["k"], "v", [0.37], count_col="n").collect()}
     hot = {tuple(r) for r in group_quantiles(df, ["k"], "v", [0.37], count_col="n", hot_rows=10).collect()}
     assert cold == hot and ("null", None, 60) in hot and len(hot) == 3
+
+
+def test_rank_buckets_follow_rows_not_compressed_bytes(spark, monkeypatch):
+    from dyad.operators import order
+    from dyad.session import cut_lineage
+
+    monkeypatch.setattr(order, "RANK_ROWS", 100)
+    df = cut_lineage(spark.range(5000).selectExpr("id % 2 g", "cast(id % 7 as double) v"))  # a few bytes a row
+    assert order.rank_buckets(df) == 50
+    ranged = order._ranged(order.with_row_id(df), ["g"], "v", "_id", [], None)
+    sizes = [len(p) for p in ranged.rdd.glom().collect()]
+    assert max(sizes) <= 400 and sum(sizes) == 5000
+    ranks = {(r.g, r.v): r.v_rank for r in order.average_ranks(df, "v", "g").distinct().collect()}
+    want = {}
+    for g in (0, 1):
+        vs = sorted(float(i % 7) for i in range(5000) if i % 2 == g)
+        want |= {(g, v): vs.index(v) + (vs.count(v) + 1) / 2 for v in set(vs)}
+    assert ranks == want
