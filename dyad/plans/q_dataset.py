@@ -99,12 +99,10 @@ SELECT cell_id, drug_id, drug_name, smiles, tissue, dataset, n, round(y, 6) ln_i
 )
 def q_replicate_median(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A1: exact median per 6 keys, NULL keys dropped (Q1)."""
-    from dyad.operators.clean import replicate_median
-    from dyad.plans.dataset import attach_dimensions
+    from dyad.plans.dataset import replicate_medians
 
-    resp = attach_dimensions(fx.responses(spark, sf_dir), fx.compounds(spark, sf_dir), fx.cells(spark, sf_dir))
-    resp = resp.withColumn("smiles", F.coalesce("smiles", F.lit("")))
-    return replicate_median(resp).withColumn("ln_ic50", r6("ln_ic50"))
+    rep = replicate_medians(fx.responses(spark, sf_dir), fx.compounds(spark, sf_dir), fx.cells(spark, sf_dir))
+    return rep.withColumn("ln_ic50", r6("ln_ic50"))
 
 
 @register(
@@ -115,12 +113,10 @@ SELECT cell_id, drug_id, drug_name, smiles, tissue, dataset, n, round(y, 6) ln_i
 def q_replicate_median_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A1 with every group above the hot threshold: the distributed path must
     give the same medians as the aggregate path."""
-    from dyad.operators.clean import replicate_median
-    from dyad.plans.dataset import attach_dimensions
+    from dyad.plans.dataset import replicate_medians
 
-    resp = attach_dimensions(fx.responses(spark, sf_dir), fx.compounds(spark, sf_dir), fx.cells(spark, sf_dir))
-    resp = resp.withColumn("smiles", F.coalesce("smiles", F.lit("")))
-    return replicate_median(resp, hot_rows=1).withColumn("ln_ic50", r6("ln_ic50"))
+    rep = replicate_medians(fx.responses(spark, sf_dir), fx.compounds(spark, sf_dir), fx.cells(spark, sf_dir), hot_rows=1)
+    return rep.withColumn("ln_ic50", r6("ln_ic50"))
 
 
 @register(

@@ -44,3 +44,23 @@ def test_canonicalise_once_per_distinct(spark):
     df = spark.createDataFrame([(1, " C C "), (2, None), (3, "C C")], "id int, smiles string")
     got = {r["id"]: r["smiles"] for r in canonicalise(df, "smiles").collect()}
     assert got == {1: "CC", 2: "", 3: "CC"}
+
+
+def test_replicates_are_collapsed_before_dimensions_with_repeated_rows(spark):
+    from dyad.plans.dataset import attach_dimensions, replicate_medians
+    from dyad.operators.clean import REPLICATE_KEYS
+
+    rows = [("c1", 1, "A", float(v)) for v in (5, 1, 2, 9)] + [("c1", 1, "B", 3.0), ("c2", 2, "A", 1.0), ("c2", 2, "A", 4.0), ("c1", 3, "A", 7.0),
+            (None, 1, "A", 1.0), ("c1", None, "A", 1.0), ("c1", 1, None, 1.0), ("c9", 1, "A", 1.0), ("c1", 8, "A", 1.0), ("c2", 1, "A", None)]
+    resp = spark.createDataFrame(rows, "cell_id string, drug_id long, dataset string, ln_ic50 double")
+    # drug 1 twice the same, drug 2 under two names, drug 3 without a name, one row without a key
+    comp = spark.createDataFrame([(1, "x", None), (1, "x", ""), (2, "y", "CC"), (2, "z", "CC"), (3, None, "C"), (None, "n", "N")],
+                                 "drug_id long, drug_name string, smiles string")
+    cells = spark.createDataFrame([("c1", "lung"), ("c1", "lung"), ("c2", "skin"), ("c2", "bone"), ("c2", None), (None, "lung")], "cell_id string, tissue string")
+    joined = attach_dimensions(resp.filter("ln_ic50 is not null"), comp, cells).withColumn("smiles", F.coalesce("smiles", F.lit("")))
+    want = sorted(tuple(r) for r in replicate_median(joined).select(*REPLICATE_KEYS, "n", "ln_ic50").collect())
+    for hot_rows in (1, 2_000_000):
+        out = replicate_medians(resp, comp, cells, hot_rows=hot_rows)
+        assert sorted(tuple(r) for r in out.collect()) == want and len(want) == 6
+    exchanged = [x for x in out._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange hashpartitioning(cell_id" in x and "drug_id" in x]
+    assert exchanged and not any("drug_name" in x for x in exchanged)  # no text of a dimension is shuffled with the responses

@@ -151,3 +151,17 @@ def test_rank_buckets_follow_rows_not_compressed_bytes(spark, monkeypatch):
         vs = sorted(float(i % 7) for i in range(5000) if i % 2 == g)
         want |= {(g, v): vs.index(v) + (vs.count(v) + 1) / 2 for v in set(vs)}
     assert ranks == want
+
+
+def test_ordinary_group_quantiles_exchange_raw_rows_once(spark):
+    rows = [(k, v) for k, vs in {"a": [3.0, None, 1.0, 2.0, float("nan")], "b": [None, None], None: [4.0], "c": [-1.0, 0.0, 5.0, 5.0]}.items() for v in vs]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(3)
+    out = group_quantiles(df, ["k"], "v", [0.0, 0.37, 1.0], count_col="n")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(k") == 1 and "percentile" not in plan
+    from pyspark.sql import functions as F
+
+    plain = df.groupBy("k").agg(*[F.percentile("v", F.lit(p)).alias(f"q{i}") for i, p in enumerate([0.0, 0.37, 1.0])], F.count(F.lit(1)).alias("n"))
+    assert sorted(map(repr, map(tuple, out.collect()))) == sorted(map(repr, map(tuple, plain.select(*out.columns).collect())))
+    hot = group_quantiles(df, ["k"], "v", [0.0, 0.37, 1.0], count_col="n", hot_rows=1)
+    assert sorted(map(repr, map(tuple, hot.collect()))) == sorted(map(repr, map(tuple, out.collect())))
