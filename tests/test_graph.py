@@ -78,3 +78,37 @@ def test_token_graphs_of_single_and_repeated_rows(spark):
     assert got == sorted((g, *e) for g, x, y in [(1, "a", "b"), (1, "a", "c"), (3, "b", "c"), (3, "b", "d")] for e in [(x, y), (y, x)])
     plan = gr.token_graphs(docs.filter("graph_id < 3"), "w")[1]._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
+
+
+def odd_graphs(spark):
+    rows = [(g, i, "ANRA"[i * g % 4], i % 3, None if (g, i) == (2, 1) else i % 2, 1) for g in (1, 2, 3) for i in range(5 * g)]
+    rows += [(None, 0, "A", 1, 0, 0), (1, 2, "R", 1, 0, 0), (3, None, "A", 0, 0, 0), (7, 0, None, None, 0, 0)]
+    nodes = spark.createDataFrame(rows, "graph_id long, node_id long, atom string, hydrogens long, charge long, aromatic long")
+    edges = [(g, i, (i * 3 + 1) % (5 * g)) for g in (1, 2, 3) for i in range(5 * g)] + [(None, 0, 1), (1, 3, None), (1, None, 2), (1, 2, 99), (4, 0, 1), (2, 1, 1)]
+    return nodes, gr.undirected(spark.createDataFrame(edges, "graph_id long, src long, dst long"))
+
+
+def test_steps_are_the_same_in_one_exchange_and_by_joins(spark, monkeypatch):
+    nodes, ue = odd_graphs(spark)
+    x = nodes.select("graph_id", "node_id", F.when(F.col("atom").isNotNull(), F.array(F.col("charge") * 1.5, F.col("hydrogens") - 1.0)).alias("x"))
+
+    def steps():
+        made = [gr.node_features(nodes, ue, TYPES), gr.descriptors(nodes, ue, "atom", {"A": 12.0}, {"N": 0.5}, ["N", "R"]), gr.propagate(x, ue, 2, 2)]
+        made[1] = made[1].withColumn("mol_weight", F.round("mol_weight", 6))
+        return [sorted(map(repr, map(tuple, df.collect()))) for df in made]
+
+    once = steps()
+    assert len(once[0]) == len(once[2]) == 34 and len(once[1]) == 5
+    for limit in (25, 0):  # some, and all, go by joins
+        monkeypatch.setattr(gr, "GRAPH_ROWS", limit)
+        assert steps() == once
+
+
+def test_partitions_grow_with_the_rows(spark, monkeypatch):
+    nodes, ue = odd_graphs(spark)
+    monkeypatch.setattr(gr, "PARTITION_ROWS", 2)
+    for df in (gr.node_features(nodes, ue, TYPES), gr.descriptors(nodes, ue, "atom", {"A": 1.0}, {"A": 1.0}, ["N"])):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan and "REPARTITION_BY_NUM" in plan and "hashpartitioning(graph_id" in plan
+    rows, large = gr._split(nodes, ue, [])
+    assert large is None and rows.rdd.getNumPartitions() > 40

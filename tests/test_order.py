@@ -165,3 +165,21 @@ def test_ordinary_group_quantiles_exchange_raw_rows_once(spark):
     assert sorted(map(repr, map(tuple, out.collect()))) == sorted(map(repr, map(tuple, plain.select(*out.columns).collect())))
     hot = group_quantiles(df, ["k"], "v", [0.0, 0.37, 1.0], count_col="n", hot_rows=1)
     assert sorted(map(repr, map(tuple, hot.collect()))) == sorted(map(repr, map(tuple, out.collect())))
+
+
+def test_group_positions_over_few_and_many_buckets(spark):
+    from dyad.operators.order import group_positions
+
+    rows = [(g, (i * 37) % 101, f"{i}") for g, n in ((1, 90), (2, 3), (None, 20), (4, 1)) for i in range(n)]
+    df = spark.createDataFrame(rows, "g long, o long, other string")
+    for by, key in (("g", lambda r: r[0]), (None, lambda r: 0)):
+        order = ["o"] if by else ["o", "g", "other"]
+        want = []
+        for r in rows:
+            mine = [(x[1],) if by else (x[1], x[0] is not None, x[0] or 0, x[2]) for x in rows if key(x) == key(r)]
+            own = (r[1],) if by else (r[1], r[0] is not None, r[0] or 0, r[2])
+            want.append((r[2], r[0], sum(m < own for m in mine), len(mine)))
+        for buckets in (1, 2, 13):
+            made = group_positions(df, order, by, out="at", total="n", keep=["other", "g"], buckets=buckets)
+            assert sorted(map(repr, ((r.other, r.g, r.at, r.n) for r in made.collect()))) == sorted(map(repr, want))
+    assert group_positions(df.limit(0), "o", "g").count() == 0
