@@ -47,3 +47,26 @@ def test_samples_with_and_without_tissue(spark):
     assert rows["c2"].asDict() == {"drug": [1.0, 2.0], "expr": None, "y": None} and len(rows) == 2
     (with_t,) = pair_samples(pairs, drugs, cells, cells.filter("cell_id = 'c1'")).collect()
     assert with_t["sample"].tissue == [3.0]
+
+
+def test_graphs_of_many_packs_and_large_graphs(spark, monkeypatch):
+    from dyad.operators import batches, graph
+
+    nodes = spark.createDataFrame([(g, n, float(n)) for g in (1, 2) for n in range(3, 3 + 7 * g)] + [(1, 4, 0.5), (None, 1, 1.0), (2, None, 2.0)],
+                                  "graph_id long, node_id long, x double")
+    edges = spark.createDataFrame([(g, n, n + 1) for g in (1, 2) for n in range(2, 3 + 7 * g)] + [(1, 4, 4)], "graph_id long, src long, dst long")
+    slots = assign_batches(spark.createDataFrame([(i, d) for i, d in enumerate([2, 1, 1, 9, 2])], "i long, drug_id long"), ["i"], size=3)
+
+    def told():
+        made = disjoint_union(slots, nodes, edges)
+        spread = sorted((r.batch, r.slot, r.node) for r in made.nodes.collect())
+        return spread, sorted(map(tuple, made.edges.collect())), sorted((r.batch, r.slot, r.n_nodes, r.offset) for r in made.slots.collect()), made
+
+    whole = told()
+    assert len(whole[0]) == 2 * 15 + 2 * 8 and len(whole[1]) == 2 * 13 + 2 * (6 + 2 + 4) and whole[2][1] == (0, 1, 8, 15)
+    monkeypatch.setattr(batches, "PACK", 2)
+    *packed, made = told()
+    assert packed == list(whole[:3])
+    assert made.edges._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+    monkeypatch.setattr(graph, "GRAPH_ROWS", 20)
+    assert list(told()[:3]) == packed
