@@ -179,14 +179,20 @@ CLIP = (0.01, 0.99)
 SELECT split, {METRIC_SQL} FROM ({rank_select('pred', 'split', 'y', 'pred')}) GROUP BY split""")
 def q_saved_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S16 + T9: a pipeline fitted on train is saved, loaded and scores val and test."""
+    from dyad.operators.joins import broadcastable, join_small
     from dyad.operators.scoring import ScoringPipeline, fit_pipeline
     from dyad.plans import fixtures as fx
     from dyad.plans.q_eval import split_df
 
     cells = fx.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("cell_id"), "embedding")
     drugs = fx.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("drug_id"), "p_size", "p_retailprice")
-    rows = cut_lineage(split_df(spark, sf_dir).join(cells, "cell_id").join(drugs, "drug_id"))
+    # written narrow; the vectors are joined to it in every pass if they can be broadcast
+    small = broadcastable(cells)
+    known = join_small(split_df(spark, sf_dir), cells.select("cell_id"), "cell_id", how="left_semi").join(drugs, "drug_id")
+    pairs = cut_lineage(known.select("cell_id", "split", "tissue", "ln_ic50", "p_size", "p_retailprice"))
+    rows = pairs.join(F.broadcast(cells), "cell_id") if small else cut_lineage(pairs.join(cells, "cell_id"))
     path = new_table_path(spark)
-    fit_pipeline(rows.filter("split = 'train'"), "embedding", "ln_ic50", ["p_size", "p_retailprice"], "tissue", L2, *CLIP).save(spark, path)
-    scored = ScoringPipeline.load(spark, path).score(rows.filter("split <> 'train'"))
+    train = rows.filter("split = 'train'")
+    fit_pipeline(train, "embedding", "ln_ic50", ["p_size", "p_retailprice"], "tissue", L2, *CLIP, stored=True).save(spark, path)
+    scored = ScoringPipeline.load(spark, path).score(rows.filter("split <> 'train'"), keep=["split", "ln_ic50"])
     return _rounded(metrics_rows(scored.withColumnRenamed("ln_ic50", "label"), "split"))

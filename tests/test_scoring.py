@@ -59,3 +59,41 @@ def test_another_width_is_refused(spark, train):
     with pytest.raises(ValueError, match="levels"):
         fit_pipeline(train.selectExpr("v", "y", "cast(id * 10000 + a as string) t").union(
             spark.range(2000).selectExpr("array(1D, 2D, 3D) v", "1D y", "cast(id as string) t")), "v", "y", category="t")
+
+
+def test_a_stored_table_is_not_written_again(spark, train, monkeypatch):
+    from dyad.operators import scoring
+
+    fitted = fit_pipeline(train, "v", "y", ["a"], "t", 0.001)
+
+    def written(df):
+        raise AssertionError("the training rows were written")
+
+    monkeypatch.setattr(scoring, "cut_lineage", written)
+    again = fit_pipeline(train, "v", "y", ["a"], "t", 0.001, stored=True)
+    assert np.allclose(again.coefficients, fitted.coefficients) and again.levels == fitted.levels
+    narrow = again.score(train, keep=["id"])
+    assert narrow.columns == ["id", "prediction"] and narrow.count() == 300
+    assert {r.id: r.prediction for r in narrow.collect()} == {r.id: r.prediction for r in again.score(train).collect()}
+
+
+def test_means_leave_gaps_and_infinite_values_out(spark):
+    rows = [(1, [1.0, None, float("inf")], None, "a", 1.0), (2, [3.0, float("nan"), 2.0], 4.0, None, 2.0), (3, None, 2.0, "b", 4.0), (4, [9.0, 9.0, 9.0], 9.0, "c", None)]
+    p = fit_pipeline(spark.createDataFrame(rows, SCHEMA), "v", "y", ["a"], "t", 0.1)
+    assert p.vector_means == [2.0, 0.0, 2.0] and p.number_means == [3.0] and p.levels == ["a", "b", "unknown"]
+
+
+def test_saved_scores_stores_its_pairs_without_vectors(spark, monkeypatch):
+    from pyspark.sql.types import ArrayType
+
+    from dyad.plans import q_regression
+
+    stored, cut = [], q_regression.cut_lineage
+
+    def watched(df):
+        stored.append(df.schema)
+        return cut(df)
+
+    monkeypatch.setattr(q_regression, "cut_lineage", watched)
+    q_regression.q_saved_scores(spark, "/root/testdata/sf0.001").collect()
+    assert stored and not [f.name for schema in stored for f in schema if isinstance(f.dataType, ArrayType)]
