@@ -31,6 +31,7 @@ from pyspark.sql import types as T
 from dyad.llm.buckets import cells
 from dyad.llm.common import append_columns, group_starts, ranges, sorted_groups, text_slices
 from dyad.llm.components import connected_components, stars
+from dyad.operators.joins import join_small
 from dyad.session import cut_lineage, scratch
 
 SHINGLE_WORDS = 4
@@ -195,5 +196,7 @@ def one_per_component(docs: DataFrame, k: int = SHINGLE_WORDS, max_bits: int = M
         first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first")
         per_fp = small.groupBy("fp").agg(first).join(_components(small, max_bits, blocks), "fp")
         kept = per_fp.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias(own["row"]))
-        kept = tables.keep(cut_lineage(kept))
-        return rows.join(kept, own["row"], "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+        # texts meet the rows that go, which are far fewer than those that stay, so texts are seldom shuffled
+        gone = tables.keep(cut_lineage(rows.select(own["row"]).join(kept, own["row"], "left_anti")))
+        stay = join_small(rows, gone, own["row"], how="left_anti", known_rows=gone.count())
+        return stay.select(*[F.col(f"`{c}`") for c in docs.columns])

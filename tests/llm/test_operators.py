@@ -69,6 +69,22 @@ def test_simhash_components_match_all_pairs(spark, docs):
     assert kept == sorted(set(root))
 
 
+def test_texts_are_not_shuffled_to_keep_one_per_component(spark):
+    rows = [(i, f"text {i} of the table " * 20) for i in range(30)] + [(30, "text 7 of the table " * 20), (None, "text 8 of the table " * 20), (9, "text 9 of the table " * 20)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = simhash.one_per_component(frame)
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning" not in plan and "SortMergeJoin" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    found = {r.component_id for r in simhash.simhash_components(frame).collect()}
+    out = [r.doc_id for r in kept.collect()]
+    assert len(out) == len(set(out)) and set(out) == found
+
+
 def test_large_cells_find_the_same_links():
     rng = np.random.default_rng(1)
     fp = rng.integers(0, 1 << 63, 40, dtype=np.uint64).repeat(5)
