@@ -112,3 +112,23 @@ def test_partitions_grow_with_the_rows(spark, monkeypatch):
         assert "Join" not in plan and "REPARTITION_BY_NUM" in plan and "hashpartitioning(graph_id" in plan
     rows, large = gr._split(nodes, ue, [])
     assert large is None and rows.rdd.getNumPartitions() > 40
+
+
+def test_drug_matrix_has_the_whole_fingerprint_and_all_descriptors(spark, tmp_path):
+    from dyad.plans import q_graph
+
+    rows = [(g, s, "ANR"[(g + s) % 3], float(s % 4), 0.09 if s == 2 else 0.0, 0.01 * s) for g in (1, 2) for s in range(3 * g)] + [(5, 1, None, 2.0, 0.0, 0.0)]
+    spark.createDataFrame(rows, "l_partkey long, l_suppkey long, l_returnflag string, l_quantity double, l_discount double, l_tax double").write.parquet(
+        str(tmp_path / "lineitem.parquet"))
+    spark.createDataFrame([(1,), (2,), (3,), (5,)], "p_partkey long").write.parquet(str(tmp_path / "part.parquet"))
+    got = {r.drug_id: r.asDict() for r in q_graph.q_drug_matrix(spark, str(tmp_path)).collect()}
+    bits, told = {}, {r.graph_id: r for r in q_graph.q_graph_descriptors(spark, str(tmp_path)).collect()}
+    for r in q_graph.q_wl_fingerprint(spark, str(tmp_path)).filter("bit is not null").collect():
+        bits.setdefault(r.graph_id, []).append(r.bit)
+    assert set(got) == {1, 2, 3, 5}
+    for g in (1, 2):
+        assert got[g]["fingerprint"] == ",".join(map(str, sorted(bits[g]))) and got[g]["n_bits"] == len(bits[g]) > 3
+    assert got[3]["fingerprint"] == got[5]["fingerprint"] == "" and got[3]["n_bits"] == 0
+    for g in (1, 2, 5):
+        assert all(got[g][c] == told[g][c] for c in ("mol_weight", "logp", "tpsa", "donors", "acceptors", "rot_bonds"))
+    assert got[2]["tpsa"] > 0 and got[2]["acceptors"] > 0 and all(got[3][c] == 0 for c in ("mol_weight", "logp", "tpsa", "donors", "acceptors", "rot_bonds"))
