@@ -470,6 +470,47 @@ def test_links_join_repeats_of_different_documents_only():
     assert ends.doc.tolist() == [1, 3]
 
 
+def test_links_of_two_blocks_are_those_between_them():
+    r = np.random.default_rng(11)
+    n = 300
+    rows = chaining.Seeds(r.integers(0, 12, n).astype(np.uint64), r.integers(0, 40, n), np.arange(n), np.full(n, 5), np.ones(n, bool))
+    side = rows.doc % 3 == 0
+    (x, y, px, py, _), _ = chaining.links(rows, True)
+    every = sorted(zip(x.tolist(), y.tolist(), px.tolist(), py.tolist()))
+    first = {}
+    for h, d, p in zip(rows.h.tolist(), rows.doc.tolist(), rows.at.tolist()):
+        first.setdefault((h, d), p)
+    assert every == sorted((d, e, p, q) for h, d, p in zip(rows.h.tolist(), rows.doc.tolist(), rows.at.tolist()) for (g, e), q in first.items() if g == h and e < d)
+    (x, y, px, py, _), _ = chaining.links(rows, False, side)
+    assert sorted(zip(x.tolist(), y.tolist(), px.tolist(), py.tolist())) == [e for e in every if (e[0] % 3 == 0) != (e[1] % 3 == 0)]
+
+
+def later_pairs(n_groups=3):
+    """Per group: two documents that hold a passage's words only in pieces among others, then four with edited copies of it."""
+    rows = []
+    for k in range(n_groups):
+        p = words(60, 7000 + k)
+        pieces = [sum((p[i : i + 12] + words(40, 7100 + 10 * k + i + j) for i in range(0, 60, 8)), []) for j in (0, 100)]
+        edited = [[f"new{k}x{j}x{i}" if i % 15 == 3 * j else w for i, w in enumerate(p)] for j in range(4)]
+        rows += [(10 * k + j, " ".join(t)) for j, t in enumerate(pieces)]
+        rows += [(10 * k + 2 + j, " ".join(words(30, 7500 + 10 * k + j) + e + words(30, 7700 + 10 * k + j))) for j, e in enumerate(edited)]
+    return rows
+
+
+def test_later_documents_are_compared_with_each_other(spark, monkeypatch):
+    d = spark.createDataFrame(later_pairs(), "doc_id long, text string")
+
+    def found():
+        return sorted(tuple(r) for r in chaining.shared_passages(d).collect())
+
+    once = found()
+    pairs = {r[:2] for r in once}
+    assert pairs >= {(10 * k + i, 10 * k + j) for k in range(3) for i in range(3, 6) for j in range(2, i)}
+    for name, value in (("BLOCK_BYTES", 500), ("BLOCK_SEEDS", 50), ("LINKS", 30), ("SLICE_BYTES", 900)):  # many slices, blocks and chunks
+        monkeypatch.setattr(chaining, name, value)
+    assert found() == once
+
+
 def test_copies_and_clashing_columns(spark):
     p, q = words(70, 81), words(60, 82)
     rows = [(5, " ".join(p), 1), (9, " ".join(p), 1), (9, " ".join(p), 1), (7, " ".join(q + p[:55]), 2), (8, "short copy", 1), (3, "short copy", 1), (None, " ".join(p), 1), (4, None, 1)]
