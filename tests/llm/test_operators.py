@@ -511,6 +511,21 @@ def test_later_documents_are_compared_with_each_other(spark, monkeypatch):
     assert found() == once
 
 
+def test_pairs_that_cannot_chain_are_told_without_chaining(monkeypatch):
+    r = np.random.default_rng(13)
+    pair = np.sort(r.integers(0, 400, 1500))
+    px, py, size = r.integers(0, 120, 1500), r.integers(0, 120, 1500), np.where(r.random(1500) < 0.02, 150, r.integers(5, 20, 1500))
+
+    def made():
+        which, length, (rx, ry, rn) = chaining.pair_chains(pair, px, py, size)
+        ends = np.cumsum(length)
+        return sorted((p, tuple(zip(rx[e - n : e].tolist(), ry[e - n : e].tolist(), rn[e - n : e].tolist()))) for p, n, e in zip(which.tolist(), length.tolist(), ends.tolist()))
+
+    once = made()
+    monkeypatch.setattr(chaining, "MANY_RUNS", 1)  # all are chained
+    assert made() == once and any(len(c) > 1 for _, c in once) and any(len(c) == 1 for _, c in once)
+
+
 def test_copies_and_clashing_columns(spark):
     p, q = words(70, 81), words(60, 82)
     rows = [(5, " ".join(p), 1), (9, " ".join(p), 1), (9, " ".join(p), 1), (7, " ".join(q + p[:55]), 2), (8, "short copy", 1), (3, "short copy", 1), (None, " ".join(p), 1), (4, None, 1)]
