@@ -132,3 +132,20 @@ def test_drug_matrix_has_the_whole_fingerprint_and_all_descriptors(spark, tmp_pa
     for g in (1, 2, 5):
         assert all(got[g][c] == told[g][c] for c in ("mol_weight", "logp", "tpsa", "donors", "acceptors", "rot_bonds"))
     assert got[2]["tpsa"] > 0 and got[2]["acceptors"] > 0 and all(got[3][c] == 0 for c in ("mol_weight", "logp", "tpsa", "donors", "acceptors", "rot_bonds"))
+
+
+def test_fingerprints_of_whole_rows_need_no_exchange_of_them(spark, monkeypatch):
+    texts = [(1, "a b a c d".split()), (2, []), (2, None), (3, "b b c".split()), (3, "c b d".split()), (None, ["x", "y"]), (None, ["x", "z"]),
+             (4, None), (5, ["a", "b"]), (6, [f"w{i * i % 17}" for i in range(60)])]
+    docs = spark.createDataFrame(texts, "graph_id long, w array<string>")
+
+    def bits(made):
+        return sorted(map(repr, map(tuple, made.collect())))
+
+    want = bits(gr.circular_fingerprint(*gr.token_graphs(docs, "w"), F.col("token"), 2, 64))
+    for limit in (200_000, 20, 0):  # all rows, some and none
+        monkeypatch.setattr(gr, "GRAPH_ROWS", limit)
+        nodes, ue, rows = gr.token_graph_rows(docs, "w")
+        assert bits(gr.circular_fingerprint(nodes, ue, F.col("token"), 2, 64, rows=rows)) == want and len(want) > 30
+        assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+        assert nodes.filter("graph_id in (1, 6)").count() == (0 if limit > 20 else nodes.filter("graph_id = 6").count() + 4 * (limit == 0))
